@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import addresses, canonical, names, quality, tokens
+from ledgerloom.llm import addresses, canonical, leakage, names, quality, tokens
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "p5_found": addresses.p5_found,
         "p6_found": canonical.p6_found,
         "p7_ids": tokens.p7_ids,
+        "p8_found": leakage.p8_found,
         "p9_found": quality.p9_found,
         "p9_stats": quality.p9_stats,
     }
