@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.llm.vocabulary import OTHER_THINGS, SHORT_FORMS, wordings
-from ledgerloom.tables import table
+from ledgerloom.tables import checkpoint, table
 
 #: The least Jaccard similarity of two sets of letter pairs.
 THRESHOLD = 0.33
@@ -79,9 +79,9 @@ def map_values(values: DataFrame, phrases: DataFrame, threshold: float = THRESHO
     own = values.select(F.lit("v").alias("side"), "list", F.col("value").alias("key"), letter_pairs("value").alias("pairs"))
     entries = phrases.select("list", "phrase").distinct()
     listed = entries.select(F.lit("e").alias("side"), "list", F.col("phrase").alias("key"), letter_pairs("phrase").alias("pairs"))
-    both = own.unionByName(listed)
+    both = checkpoint(own.unionByName(listed))
     frequencies = both.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
-    sets = ordered(both, frequencies)
+    sets = checkpoint(ordered(both, frequencies))
     left = prefix_rows(sets.filter("side = 'v'"), threshold, "value")
     right = prefix_rows(sets.filter("side = 'e'"), threshold, "phrase")
     n, m = F.size("value_pairs"), F.size("phrase_pairs")
@@ -114,12 +114,13 @@ def blank(column: str) -> Column:
 
 def map_column(rows: DataFrame, phrases: DataFrame, names: DataFrame) -> DataFrame:
     """`rows` (list, value, ...) with `term_id`, and `exact` where the value is a name of its list."""
-    values = rows.select("list", "value").distinct()
+    # The different values are few; written once, they keep the plan short and are not worked out again.
+    values = checkpoint(rows.select("list", "value").distinct())
     exact = values.join(names, ["list", "value"])
     others = values.join(names.select("list", "value"), ["list", "value"], "left_anti")
     matched = others.join(map_values(others.filter("list is not null"), phrases), ["list", "value"], "left")
     found = exact.select("list", "value", "term_id", F.lit(True).alias("exact")).unionByName(matched.select("list", "value", F.coalesce("term_id", F.lit(0)).cast("bigint").alias("term_id"), F.lit(False).alias("exact")))
-    return rows.join(found, ["list", "value"], "left").withColumns({"term_id": F.coalesce("term_id", F.lit(0).cast("bigint")), "exact": F.coalesce("exact", F.lit(False))})
+    return rows.join(checkpoint(found), ["list", "value"], "left").withColumns({"term_id": F.coalesce("term_id", F.lit(0).cast("bigint")), "exact": F.coalesce("exact", F.lit(False))})
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
