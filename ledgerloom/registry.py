@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from ledgerloom.operators import nested, units
+from ledgerloom.plans import oracle, queries as plans
 
 
 def queries() -> dict:
-    return {
+    return {q.__name__: q for q in plans.QUERIES} | {
         "p2_found": units.p2_found,
         "p2_flagged": units.p2_flagged,
         "p3_found": nested.p3_found,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.sql()
