@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import addresses, canonical, leakage, names, quality, tokens
+from ledgerloom.llm import addresses, canonical, leakage, names, pii, quality, tokens
 
 
 def queries() -> dict:
     return {
+        "p1_found": pii.p1_found,
+        "p1_redacted": pii.p1_redacted,
         "p4_found": names.p4_found,
         "p5_found": addresses.p5_found,
         "p6_found": canonical.p6_found,
