@@ -31,8 +31,9 @@ def test_examples(found, text, want):
 def test_odd_texts(found):
     assert found("") == set() and found("\n\n\r\n") == set()
     assert pii.finder(str(pii.MODEL)).find([None, ""]) == [[], []]
-    long = "x" * 50_000 + " Call 085 221 3301 before unloading, ask for Henriette Vosinurel"
-    assert (1, "phone") in found(long)
+    filler = "keep dry, handle paper sacks with care, " * 1500
+    assert {(1, "phone"), (1, "person_name")} <= found(filler + "Call 085 221 3301 before unloading, ask for Henriette Vosinurel, " + filler)
+    found("x" * 50_000)
 
 
 def test_placeholders_leave_the_rest():
