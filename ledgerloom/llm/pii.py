@@ -87,6 +87,7 @@ class Tagger:
         h, c = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
         states = np.empty((steps, n, k), np.float32)
         table_, U = self.inputs[way], self.recurrent[way]
+        ragged = way == 1 and bool((ids[:, -1] == FILL).any())
         g, size = np.empty((n, 4 * k), np.float32), np.empty((n, 4 * k), np.float32)
         for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
             np.matmul(h, U, out=g)
@@ -105,6 +106,11 @@ class Tagger:
             h += 1.0
             np.divide(c, h, out=h)
             h *= g[:, 2 * k : 3 * k]
+            if ragged:
+                # Behind a text's end there is no state, so that the filling doesn't count.
+                filled = ids[:, t] == FILL
+                h[filled] = 0.0
+                c[filled] = 0.0
         return states
 
     def scores(self, ids: np.ndarray) -> np.ndarray:
@@ -241,6 +247,16 @@ def settled(piece: str, begin: int, end: int, kind: str) -> str | None:
     return None if thai and not THAI_TITLE.search(piece[max(0, begin - 8) : end]) else kind
 
 
+def grown(piece: str, begin: int, end: int, kind: str) -> tuple[int, int]:
+    """A span widened to whole words, an email address also over its inner marks, so that no rest of an item stays."""
+    inner = "._-+@" if kind == "email" else ""
+    while begin > 0 and (piece[begin - 1].isalnum() and piece[begin].isalnum() or piece[begin - 1] in inner and begin > 1 and piece[begin - 2].isalnum()):
+        begin -= 1
+    while end < len(piece) and (piece[end].isalnum() and piece[end - 1].isalnum() or piece[end] in inner and end + 1 < len(piece) and piece[end + 1].isalnum() or kind == "email" and piece[end].isalnum()):
+        end += 1
+    return begin, end
+
+
 class Finder:
     """Finds spans in texts, piece by piece, and remembers pieces of equal layout."""
 
@@ -269,9 +285,14 @@ class Finder:
             self.known[piece] = found
         out: list[list[tuple[int, int, int, str]]] = [[] for _ in texts]
         for n, line_no, at, piece, form in places:
+            last = 0
             for begin, end, kind in self.known[form]:
                 if sure := settled(piece, begin, end, kind):
-                    out[n].append((line_no, at + begin, at + end, sure))
+                    begin, end = grown(piece, begin, end, sure)
+                    begin = max(begin, last)
+                    if begin < end:
+                        out[n].append((line_no, at + begin, at + end, sure))
+                        last = end
         return out
 
 

@@ -226,6 +226,9 @@ class Trainer:
             cs[t + 1] = g[:, k : 2 * k] * cs[t] + g[:, :k] * g[:, 3 * k :]
             hs[t + 1] = g[:, 2 * k : 3 * k] * soft(cs[t + 1])
             gs[t] = g
+            filled = ids[:, t] == pii.FILL
+            hs[t + 1][filled] = 0.0
+            cs[t + 1][filled] = 0.0
         return hs, cs, gs
 
     def lstm_back(self, ids, state, dh_all, way, grads):
@@ -238,6 +241,9 @@ class Trainer:
         for t in range(steps - 1, -1, -1):
             g = gs[t]
             dh = dh + dh_all[t]
+            filled = ids[:, t] == pii.FILL
+            dh[filled] = 0.0
+            dc[filled] = 0.0
             tc = soft(cs[t + 1])
             dc = dc + dh * g[:, 2 * k : 3 * k] * (1 - np.abs(tc)) ** 2
             dg = np.concatenate([dc * g[:, 3 * k :], dc * cs[t], dh * tc, dc * g[:, :k]], 1)
