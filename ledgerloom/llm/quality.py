@@ -148,6 +148,9 @@ LABELLERS: list[tuple[str, str]] = [
     ("table", "labelled_share >= 0.6 and n_lines >= 3"),
     ("table", "digit_share >= 0.15 and stop_rate < 0.02 and celled_share + labelled_share >= 0.3"),
     ("table", "digit_share + symbol_share >= 0.3 and letter_share + digit_share >= 0.55 and celled_share + labelled_share >= 0.5"),
+    ("table", "celled_share >= 0.8 and n_lines >= 3 and letter_share + digit_share >= 0.5"),
+    ("table", "labelled_share >= 0.8 and n_lines >= 4"),
+    ("table", "labelled_share >= 0.5 and n_lines >= 3 and stop_rate < 0.02"),
     ("list", "(marked_share >= 0.6 and n_lines >= 3 and words_per_line < 12) or (n_inline >= 3 and comma_rate >= 0.08)"),
     ("list", "tabbed_share >= 0.6 and n_lines >= 3"),
     ("list", "short_share >= 0.8 and n_lines >= 3 and words_per_line <= 7 and celled_share < 0.3 and labelled_share < 0.3 and common_share < 0.3 and line_variety > 0.4 and letter_share > 0.6 and n_chars < 60 * n_lines or (comma_rate >= 0.15 and n_lines <= 2 and n_commas >= 3 and common_share < 0.3 and letter_share > 0.6)"),
@@ -161,6 +164,8 @@ LABELLERS: list[tuple[str, str]] = [
     ("prose", "symbol_share <= 0.04 and digit_share <= 0.03 and letter_share > 0.9"),
     ("junk", "markup_share >= 0.3"),
     ("junk", "broken_rate >= 0.006"),
+    ("junk", "n_broken >= 2 and broken_rate >= 0.003"),
+    ("junk", "n_broken >= 3"),
     ("junk", "cluster_rate >= 0.2"),
     ("junk", "key_rate >= 0.5"),
     ("junk", "menu_share >= 0.5 and n_words >= 4"),
