@@ -23,6 +23,7 @@ import unicodedata
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,9 @@ PASSAGE, STRIDE = 120, 60
 #: Words that an edit may add, drop or change between two matches of a stretch.
 GAP = 7
 BLOCK = 16
+#: Behind the last item of a posting list.
+END = 1 << 60
+FIRST = itemgetter(0)
 ITEMS_PER_BLOCK = 20_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -101,8 +105,8 @@ class Index:
             return set()
         found = set()
         cursors = [[p[0][0], 0, p] for p in lists]
+        cursors.sort(key=FIRST)
         while cursors:
-            cursors.sort(key=lambda c: c[0])
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
                 bound += c[2][3]
@@ -118,27 +122,25 @@ class Index:
             tight = 0.0
             for c in cursors[: pivot + 1]:
                 docs, _, tops, _ = c[2]
-                at = bisect_left(docs, item, c[1])
-                tight += tops[min(at, len(docs) - 1) // BLOCK] if at < len(docs) else 0.0
+                if c[0] < item:
+                    c[1] = bisect_left(docs, item, c[1])
+                if c[1] < len(docs):
+                    tight += tops[c[1] // BLOCK]
             if tight >= 1:
                 score = 0.0
-                for c in cursors[: pivot + 1]:
-                    docs, weights, _, _ = c[2]
-                    at = bisect_left(docs, item, c[1])
+                for _, at, (docs, weights, _, _) in cursors[: pivot + 1]:
                     if at < len(docs) and docs[at] == item:
                         score += weights[at]
                 if score >= 1:
                     found.add(item)
-            alive = []
-            for k, c in enumerate(cursors):
-                if k <= pivot:
-                    docs = c[2][0]
-                    at = bisect_left(docs, item + 1, c[1])
-                    if at == len(docs):
-                        continue
-                    c[0], c[1] = docs[at], at
-                alive.append(c)
-            cursors = alive
+            for c in cursors[: pivot + 1]:
+                docs, at = c[2][0], c[1]
+                if at < len(docs) and docs[at] == item:
+                    at += 1
+                c[0], c[1] = (docs[at], at) if at < len(docs) else (END, at)
+            cursors.sort(key=FIRST)
+            while cursors and cursors[-1][0] == END:
+                cursors.pop()
         return found
 
     def stretches(self, n: int, words: list[str], where: dict[str, list[int]]) -> float:
@@ -160,6 +162,8 @@ class Index:
                 dj, di = j - pj, i - pi
                 if dj <= 0 or di <= 0 or di > GAP + 2 or abs(di - dj) > 4:
                     continue
+                if best[p][0] + di <= top[0]:
+                    continue  # not even all words between them would make this the better chain
                 gain = 1 if di == 1 and dj == 1 else min(2, di) + bridged(item[pi + 2 : i], words[pj + 2 : j])
                 if best[p][0] + gain > top[0]:
                     top = (best[p][0] + gain, best[p][1], p)
