@@ -32,19 +32,24 @@ VALIDATE_FORMATS = (
 )
 
 
+#: White space of any kind.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE_RUN = f"[{WHITE}]+"
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
     """Stripped, with runs of white space as one blank."""
-    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(text), WHITE_RUN, " ")
 
 
 def normalize_name(name: Column) -> Column:
     """Stripped, lower case, blanks and hyphens as one underscore."""
-    return F.regexp_replace(F.regexp_replace(F.lower(strip(name)), r"(?U)[\s-]+", "_"), "_+", "_")
+    return F.regexp_replace(F.regexp_replace(F.lower(strip(name)), f"[{WHITE}-]+", "_"), "_+", "_")
 
 
 def parse_number(text: Column) -> Column:

@@ -16,7 +16,8 @@ from ledgerloom.functions import match, normalize
 def typed(rows: DataFrame) -> DataFrame:
     """The readings of `value_json` that the rules need, worked out once per value and step by step, so that none is repeated."""
     rows = rows.withColumns({"raw": normalize.strip(F.col("value_json")), "plain": normalize.scalar_text(F.col("value_json"))})
-    rows = rows.withColumns({"text": F.when(F.col("raw").startswith('"'), normalize.squeeze(F.col("plain"))), "number": match.number_of(F.col("value_json"))})
+    number = F.when(F.col("raw") == "true", 1.0).when(F.col("raw") == "false", 0.0).when(~F.substring("raw", 1, 1).isin("[", "{"), normalize.parse_number(F.col("plain")))
+    rows = rows.withColumns({"text": F.when(F.col("raw").startswith('"'), normalize.squeeze(F.col("plain"))), "number": number})
     rows = rows.withColumn("day", F.when(~F.col("text").rlike(r"^\p{Nd}+$"), normalize.parse_date(F.col("text"))))
     return rows.withColumn("v", F.struct(F.when(F.col("raw") != "null", F.col("value_json")).alias("json"), "raw", F.lower("text").alias("text"), "number", "day")).drop("raw", "plain", "text", "number", "day")
 

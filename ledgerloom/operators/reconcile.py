@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,6 +16,16 @@ def keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_turn", F.row_number().over(last)).filter("_turn = 1").drop("_turn")
 
 
+def sorted_pairs(pairs: Column) -> Column:
+    """A document's keys and names in order. A document has few fields, so they travel as one array and one exchange does for all lookups."""
+    return F.array_sort(F.flatten(F.collect_list(pairs)))
+
+
+def last_of(known: str, key: str) -> Column:
+    """The name of the last entry with that key, null if there is none."""
+    return F.try_element_at(F.filter(F.col(known), lambda x: x["key"] == F.col(key)), F.lit(-1))["name"]
+
+
 def reconcile_catalog(proposed: DataFrame, catalog: DataFrame) -> DataFrame:
     """Proposed fields (doc_id, doc_type, ord, name, description, likely_required) merged with the catalog.
 
@@ -45,18 +55,14 @@ def split_extracted(entries: DataFrame, suggested: DataFrame) -> DataFrame:
     alias = resolve_alias(F.col("doc_type"), norm)
     known = suggested.select("doc_id", "doc_type", F.col("name").alias("s_name"), F.col("ord").alias("s_ord"))
     keys = known.withColumn("norm", normalize_name(F.col("s_name"))).withColumn("alias", resolve_alias(F.col("doc_type"), F.col("norm")))
-    lookup = keys.select("doc_id", "s_name", "s_ord", F.explode(F.array_distinct(F.array("norm", "alias"))).alias("key"))
-    lookup = keep_last(lookup, ["doc_id", "key"], ["s_ord"]).select("doc_id", "key", "s_name")
+    pairs = F.transform(F.array_distinct(F.array("norm", "alias")), lambda k: F.struct(F.col("s_ord").alias("ord"), k.alias("key"), F.col("s_name").alias("name")))
+    lookup = keys.groupBy("doc_id").agg(sorted_pairs(pairs).alias("_known"), F.collect_set("s_name").alias("_exact"))
     values = entries.filter("value_json is not null and trim(value_json) != 'null'").withColumns({"norm": norm, "alias": alias})
-    exact = known.select("doc_id", F.col("s_name").alias("name"), F.col("s_name").alias("exact")).distinct()
-    found = (
-        values.join(exact, ["doc_id", "name"], "left")
-        .join(lookup.select("doc_id", F.col("key").alias("alias"), F.col("s_name").alias("by_alias")), ["doc_id", "alias"], "left")
-        .join(lookup.select("doc_id", F.col("key").alias("norm"), F.col("s_name").alias("by_norm")), ["doc_id", "norm"], "left")
-    )
-    target = F.coalesce("exact", "by_alias", "by_norm")
-    named = found.withColumns({"bucket": F.when(target.isNotNull(), "extracted").otherwise("additional"), "field": F.coalesce(target, F.col("name"))})
-    return keep_last(named, ["doc_id", "bucket", "field"], ["ord"]).drop("exact", "by_alias", "by_norm", "norm", "alias", "name")
+    found = values.join(lookup, "doc_id", "left")
+    target = F.coalesce(F.when(F.array_contains("_exact", F.col("name")), F.col("name")), last_of("_known", "alias"), last_of("_known", "norm"))
+    named = found.withColumn("_target", target).drop("_known", "_exact")
+    named = named.withColumns({"bucket": F.when(F.col("_target").isNotNull(), "extracted").otherwise("additional"), "field": F.coalesce("_target", F.col("name"))})
+    return keep_last(named, ["doc_id", "bucket", "field"], ["ord"]).drop("_target", "norm", "alias", "name")
 
 
 def prediction(split: DataFrame) -> DataFrame:
@@ -72,10 +78,10 @@ def rename_predictions(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """
     keys = truth.withColumn("norm", normalize_name(F.col("name")))
     keys = keys.withColumn("alias", F.when(F.col("doc_type").isNotNull(), resolve_alias(F.col("doc_type"), F.col("norm"))))
-    lookup = keys.select("doc_id", F.col("name").alias("t_name"), "ord", F.posexplode(F.array("alias", "norm")).alias("turn", "key"))
-    lookup = keep_last(lookup.filter("key is not null"), ["doc_id", "key"], ["ord", "turn"]).select("doc_id", "key", "t_name")
+    pairs = F.array(*[F.struct("ord", F.lit(turn).alias("turn"), F.col(key).alias("key"), "name") for turn, key in enumerate(("alias", "norm"))])
+    lookup = keys.groupBy("doc_id").agg(sorted_pairs(pairs).alias("_known"))
     own = predicted.withColumn("norm", normalize_name(F.col("name")))
     own = own.withColumn("alias", resolve_alias(F.col("doc_type"), F.col("norm")))
-    found = own.join(lookup.select("doc_id", F.col("key").alias("alias"), F.col("t_name").alias("a_name")), ["doc_id", "alias"], "left").join(lookup.select("doc_id", F.col("key").alias("norm"), F.col("t_name").alias("n_name")), ["doc_id", "norm"], "left")
-    field = F.when(F.col("doc_type").isNull(), F.col("name")).otherwise(F.coalesce("a_name", "n_name", "name"))
-    return keep_last(found.withColumn("field", field), ["doc_id", "field"], ["ord"]).select("doc_id", "doc_type", "ord", "field", "value_json")
+    found = own.join(lookup, "doc_id", "left")
+    field = F.when(F.col("doc_type").isNull(), F.col("name")).otherwise(F.coalesce(last_of("_known", "alias"), last_of("_known", "norm"), "name"))
+    return keep_last(found.withColumn("field", field).drop("_known"), ["doc_id", "field"], ["ord"]).select("doc_id", "doc_type", "ord", "field", "value_json")
