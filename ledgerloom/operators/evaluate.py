@@ -28,12 +28,20 @@ def compare(predicted: DataFrame, truth: DataFrame, deep: bool = True) -> DataFr
     `predicted` and `truth` have doc_id, field, value_json and ord; each field once per document. With `deep` false
     containers are compared as scalars, which keeps the whole plan in the JVM.
     """
-    sides = typed(predicted.select("doc_id", "field", "value_json")).select("doc_id", "field", F.col("v").alias("p"), F.lit(None).alias("e"), F.lit(1).alias("in_pred"), F.lit(0).alias("in_truth"), F.lit(None).cast("bigint").alias("ord"), F.col("value_json").alias("predicted"), F.lit(None).cast("string").alias("expected"))
-    kind = sides.schema["p"].dataType
-    sides = sides.withColumn("e", F.lit(None).cast(kind))
-    wanted = typed(truth.select("doc_id", "field", "value_json", "ord")).select("doc_id", "field", F.lit(None).cast(kind).alias("p"), F.col("v").alias("e"), F.lit(0).alias("in_pred"), F.lit(1).alias("in_truth"), F.col("ord").cast("bigint").alias("ord"), F.lit(None).cast("string").alias("predicted"), F.col("value_json").alias("expected"))
-    names = ("p", "e", "in_pred", "in_truth", "ord", "predicted", "expected")
-    both = sides.unionByName(wanted).repartition("doc_id").groupBy("doc_id", "field").agg(*[F.max(n).alias(n) for n in names])
+    said = predicted.select("doc_id", "field", "value_json", F.lit(1).alias("in_pred"), F.lit(0).alias("in_truth"), F.lit(None).cast("bigint").alias("ord"))
+    wanted = truth.select("doc_id", "field", "value_json", F.lit(0).alias("in_pred"), F.lit(1).alias("in_truth"), F.col("ord").cast("bigint").alias("ord"))
+    # Only the raw values are exchanged; their readings are worked out behind the exchange, in parallel.
+    sides = typed(said.unionByName(wanted).repartition("doc_id"))
+    own, other = F.col("in_pred") == 1, F.col("in_truth") == 1
+    both = sides.groupBy("doc_id", "field").agg(
+        F.max(F.when(own, F.col("v"))).alias("p"),
+        F.max(F.when(other, F.col("v"))).alias("e"),
+        F.max("in_pred").alias("in_pred"),
+        F.max("in_truth").alias("in_truth"),
+        F.max("ord").alias("ord"),
+        F.max(F.when(own, F.col("value_json"))).alias("predicted"),
+        F.max(F.when(other, F.col("value_json"))).alias("expected"),
+    )
     p, e = F.col("p"), F.col("e")
     scalar = (
         F.when(p["json"].isNull() | e["json"].isNull(), p["json"].isNull() & e["json"].isNull())
