@@ -247,7 +247,7 @@ def group_response(spark: SparkSession, folder: str) -> DataFrame:
 def router_prompt(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
     made = prompts.router_prompt(F.concat(F.lit("doc_"), F.col("doc_id")), text, ["invoice", "po", "delivery_note"])
-    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", prompts.has_input(text, F.lit(None)).alias("has_input"), F.when(text.isNull() | text.rlike(r"\A[\x20-\x7e\n]*\z"), F.length(made)).cast("bigint").alias("n_chars"))
+    return table(spark, folder, "documents", "doc_id", "text").select("doc_id", prompts.has_input(text, F.lit(None)).alias("has_input"), F.length(made).cast("bigint").alias("n_chars"))
 
 
 def catalog_templates(spark: SparkSession, folder: str) -> DataFrame:
