@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.normalize import strip
@@ -19,9 +23,18 @@ def few_shot_budget(examples: DataFrame, limit: int = EXAMPLES, budget: int = BU
     return sized.filter((F.col("turn") <= limit) & ((F.col("turn") == 1) | (F.col("used") <= budget)))
 
 
-def compact_size(value_json: Column) -> Column:
-    """The length of a value as compact JSON."""
-    return F.length(F.to_json(F.try_parse_json(value_json)))
+@F.pandas_udf(T.LongType())
+def example_size(output: pd.Series) -> pd.Series:
+    """The length of an example's output as compact JSON under the key `fields`, as it stands in a prompt; null where the output is no object or holds nothing."""
+
+    def size(text: str | None) -> int | None:
+        try:
+            fields = json.loads(text) if text else None
+        except (ValueError, RecursionError):
+            return None
+        return len(json.dumps({"fields": fields}, ensure_ascii=False, separators=(",", ":"))) if isinstance(fields, dict) and fields else None
+
+    return pd.Series([size(t) for t in output], dtype="Int64")
 
 
 def with_text(parts: list[Column], text: Column, label: str = "Document text:\n") -> Column:

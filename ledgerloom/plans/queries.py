@@ -169,8 +169,8 @@ def error_issues(spark: SparkSession, folder: str) -> DataFrame:
 def few_shot_budget(spark: SparkSession, folder: str) -> DataFrame:
     parts = []
     for name, kind in (("invoices", "invoice"), ("purchase_orders", "po"), ("delivery_notes", "delivery_note")):
-        parts.append(table(spark, folder, name, "file_stem", "source_system", "output").dropDuplicates(["file_stem"]).select(F.concat(F.lit(kind + "/"), F.coalesce("source_system", F.lit("-"))).alias("doc_type"), F.col("file_stem").alias("file"), F.length("output").cast("bigint").alias("size")))
-    return prompts.few_shot_budget(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("doc_type", "file", "size", F.col("turn").cast("bigint").alias("turn"), "used")
+        parts.append(table(spark, folder, name, "file_stem", "source_system", "output").dropDuplicates(["file_stem"]).select(F.concat(F.lit(kind + "/"), F.coalesce("source_system", F.lit("-"))).alias("doc_type"), F.col("file_stem").alias("file"), prompts.example_size(F.col("output")).alias("size")))
+    return prompts.few_shot_budget(parts[0].unionByName(parts[1]).unionByName(parts[2]).filter("size is not null")).select("doc_type", "file", "size", F.col("turn").cast("bigint").alias("turn"), "used")
 
 
 def raw_answers(spark: SparkSession, folder: str) -> DataFrame:
