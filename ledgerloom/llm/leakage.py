@@ -93,8 +93,11 @@ class Index:
         return idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
 
     def threshold(self, n: int, total: int, mean: float) -> float:
-        """What an unedited stretch of a fifth of the item's share would score, cut to a third for edits."""
-        least = len(self.words[n]) * SHARE / STRETCHES
+        """What an unedited stretch of a fifth of the item's words would score, or the half of a passage if that is less, cut to a third for edits.
+
+        A stretch of half a passage or more has that many words in one passage at least, wherever the passages begin.
+        """
+        least = min(len(self.words[n]) * SHARE / STRETCHES, PASSAGE / 2)
         rare = math.log(1 + (total - 0.5) / 1.5)
         return max(2.0, (least - GRAM + 1) / 3) * self.bm25(rare, 1, len(self.words[n]), mean) * 0.9
 
