@@ -175,14 +175,38 @@ class Index:
         for k, (covered, first, _) in enumerate(best):
             if covered > chains.get(first, (0, 0))[0]:
                 chains[first] = (covered, k)
-        runs = sorted(((covered, anchors[f], anchors[last]) for f, (covered, last) in chains.items() if covered >= 5), reverse=True)[:12]
-        top = max((r[0] for r in runs), default=0)
-        for x in range(len(runs)):
-            for y in range(len(runs)):
-                # Two stretches count together if they follow each other in both texts.
-                if runs[x][2][0] < runs[y][1][0] and runs[x][2][1] < runs[y][1][1]:
-                    top = max(top, runs[x][0] + runs[y][0])
-        return top / max(1, len(item))
+        runs = [(covered, anchors[f], anchors[last]) for f, (covered, last) in chains.items() if covered >= 5]
+        return best_two(runs) / max(1, len(item))
+
+
+def best_two(runs: list[tuple[int, tuple[int, int], tuple[int, int]]]) -> int:
+    """The most words of one stretch, or of two that follow each other in both texts.
+
+    A stretch is its words covered, its first and its last place, each in the
+    document and in the item. Going through the document, the stretches that have
+    ended are kept as a staircase: later ends in the item with more words only.
+    """
+    top = max((r[0] for r in runs), default=0)
+    ended = sorted(runs, key=lambda r: r[2][0])
+    places: list[int] = []
+    most: list[int] = []
+    k = 0
+    for covered, (j, i), _ in sorted(runs, key=lambda r: r[1][0]):
+        while k < len(ended) and ended[k][2][0] < j:
+            words, _, (_, end) = ended[k]
+            k += 1
+            at = bisect_left(places, end + 1)
+            if at and most[at - 1] >= words:
+                continue
+            low = bisect_left(places, end)
+            high = low
+            while high < len(most) and most[high] <= words:
+                high += 1
+            places[low:high], most[low:high] = [end], [words]
+        at = bisect_left(places, i)
+        if at:
+            top = max(top, most[at - 1] + covered)
+    return top
 
 
 def bridged(left: list[str], right: list[str]) -> int:

@@ -22,3 +22,25 @@ def test_long_items_are_found(length, edited):
     for words in (held, fresh(rng, 95) + held + fresh(rng, 30), fresh(rng, 37) + half + fresh(rng, 50)):
         assert leakage.leaks_of(" ".join(words), index) == [0]
     assert leakage.leaks_of(" ".join(held[: length // 3]), index) == []
+
+
+@pytest.mark.parametrize("times", [1, 11, 12, 13, 40])
+def test_second_stretch_is_paired_however_often_the_first_stands(times):
+    rng = random.Random(times)
+    items = [fresh(rng, 100) for _ in range(3)]
+    index = leakage.Index([(n, " ".join(w)) for n, w in enumerate(items)])
+    quoted = [w for _ in range(times) for w in items[0][5:33] + fresh(rng, 20)]
+    words = fresh(rng, 30) + quoted + items[0][60:76] + fresh(rng, 40)
+    assert leakage.leaks_of(" ".join(words), index) == [0]
+    assert leakage.leaks_of(" ".join(fresh(rng, 30) + items[0][60:76] + quoted), index) == []
+
+
+def test_best_two_equals_all_pairs():
+    rng = random.Random(8)
+    for _ in range(500):
+        runs = []
+        for _ in range(rng.randrange(30)):
+            j, i = rng.randrange(60), rng.randrange(30)
+            runs.append((rng.randrange(5, 20), (j, i), (j + rng.randrange(1, 12), i + rng.randrange(1, 12))))
+        pairs = [a[0] + b[0] for a in runs for b in runs if a[2][0] < b[1][0] and a[2][1] < b[1][1]]
+        assert leakage.best_two(runs) == max([*pairs, *[r[0] for r in runs]], default=0)
