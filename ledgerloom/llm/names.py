@@ -6,7 +6,8 @@ fall together at once. The others are blocked by the phonetic codes of their
 sorted core tokens; within a block the core tokens are compared by Jaro-Winkler
 and edit distance, with short forms (a prefix, or the consonants alone) and the
 nickname table, and accepted pairs are closed to connected components. A spelling
-with a short form is linked only if all full spellings that it fits are one name.
+with a short form is linked only if all full spellings that it fits are one name;
+short forms that fit no full spelling are linked with each other (`short_names`).
 
 Defined results: null and blank names have no pairs; a name without letters falls
 together only with texts equal but for case, blanks and marks. Repeated names
@@ -194,8 +195,9 @@ def parse(text: str) -> dict:
     given = given_of(first) if len(first) > 1 else frozenset()
     short = False
     if not given:
-        given = frozenset(full for full in NICKNAMES if full.startswith(first)) if dot or len(first) == 1 else frozenset()
-        short = True
+        # A given name that the table doesn't hold is full unless it is an initial or dotted.
+        short = dot or len(first) == 1
+        given = frozenset(full for full in NICKNAMES if full.startswith(first)) if short else frozenset()
     elif len(given) > 1:
         short = True
     # A word that is no known given name is kept as it is.
@@ -303,6 +305,25 @@ def links(rows: DataFrame) -> DataFrame:
     return spread(compared).mapInArrow(run, "a string, b string, weak boolean")
 
 
+def short_names(forms: DataFrame, found: DataFrame, full: DataFrame) -> DataFrame:
+    """node and component of the short forms that fit no full spelling, by the links between them.
+
+    A component is one name if its members have a given name in common and no two
+    trades. Else a short form stands between two names ('Ted' between 'T.' and 'E.'),
+    and only those with the same given names and trade are linked.
+    """
+    alone = forms.filter("short").join(full.select(F.col("one").alias("id")), "id", "left_anti").select("id", "given", "trade")
+    sides = [alone.select(F.col("id").alias(n), F.col("given").alias(f"given_{n}"), F.col("trade").alias(f"trade_{n}")) for n in ("a", "b")]
+    loose = checkpoint(found.filter("weak").join(sides[0], "a").join(sides[1], "b"))
+    wide = components(loose)
+    near = components(loose.filter("given_a = given_b and trade_a = trade_b")).select("node", F.col("component").alias("near"))
+    members = wide.join(alone.withColumnRenamed("id", "node"), "node")
+    trades = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"), F.countDistinct(F.nullif("trade", F.lit(""))).alias("trades")).filter("trades <= 1")
+    shared = members.select("component", F.explode(F.split("given", r"\|")).alias("name")).groupBy("component", "name").agg(F.count(F.lit(1)).alias("size"))
+    whole = trades.join(shared, ["component", "size"]).select("component", F.col("component").alias("whole")).distinct()
+    return wide.join(whole, "component", "left").join(near, "node", "left").select("node", F.coalesce("whole", "near", "node").alias("component"))
+
+
 def same_names(texts: DataFrame) -> DataFrame:
     """The entity (component) of each different spelling: text, entity."""
     rows = checkpoint(parsed(spread(texts.select("text").filter(F.col("text").isNotNull()).distinct())))
@@ -316,6 +337,8 @@ def same_names(texts: DataFrame) -> DataFrame:
     toward = ends.join(marked.filter("short").select(F.col("id").alias("one")), "one").join(marked.filter("not short").select(F.col("id").alias("two")), "two").join(strong.withColumnRenamed("node", "two"), "two", "left")
     full = toward.select("one", F.coalesce("component", "two").alias("component"))
     single = full.groupBy("one").agg(F.min("component").alias("component"), F.max("component").alias("other")).filter(F.col("component") == F.col("other"))
+    loose = short_names(forms, found, full)
+    single = single.select("one", "component").unionByName(loose.withColumnRenamed("node", "one"))
     known = rows.select("id").distinct().join(strong.withColumnRenamed("node", "id"), "id", "left").join(single.select(F.col("one").alias("id"), F.col("component").alias("joined")), "id", "left")
     named = known.select("id", F.coalesce("joined", "component", "id").alias("entity"))
     return rows.join(named, "id").select("text", "entity")
