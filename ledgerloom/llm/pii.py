@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.names import GIVEN, TITLES
 from ledgerloom.tables import RECORD_TABLES, spread, table
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
@@ -215,16 +216,37 @@ def spans(path: np.ndarray) -> list[tuple[int, int, str]]:
 
 ID_WORD = re.compile(r"(?:SSN|social security|national id|citizen id|id card|identity card|passport|licen[cs]e|บัตรประชาชน)\b\.?[ :#]*(?:no\b\.?|number)?[ :#]*(?:no\b\.?)?[ :#]*$", re.I)
 DOCUMENT_WORD = re.compile(r"(?:\b(?:no|ref|reg|serial|quote|account|batch|lot|seal|model|rev|statement|slot|page|tracking|document|order|invoice)\b\.?(?: ?(?:no\b\.?|#|:))*|#)[ ]*(?:[A-Z]{1,4}-?)?$", re.I)
+PHONE_WORD = re.compile(r"(?:\b(?:tele)?phone|\btel|\bmobile|\bcell|\bfax|\bhotline|\bwhatsapp|โทร(?:ศัพท์)?)\b\.?[ :#]*(?:no\b\.?|number\b)[ :#]*$", re.I)
 HEADING = re.compile(r"^(?:[A-Z][\w ()]{1,18}: ?)?[^:;<|@]*$")
 COMPANY = re.compile(
     r"\b(?:ltd|limited|inc|incorporated|corp|corporation|gmbh|g\.m\.b\.h|sdn|bhd|pte|mfg|trdg|txtls|pkg|svcs|hdwe|fds|lgstcs|engrg|intl|international|chem(?:ic(?:als)?)?|packag(?:ing)?"
     r"|logist(?:ics)?|trading|engineering|electronics|services|foods|hardw(?:are)?|supplies|textiles|industries|manuf(?:acturing)?)\b|\b(?:eng'g|int'l)|^(?:[A-Z][\w ()]{1,18}: ?)?M/s ",
     re.I,
 )
+#: Words that don't stand within a company's name.
+BETWEEN = re.compile(r"\b(?:for|to|by|from|with|at|in|on|is|was|has|had|will|your|our|their|about|via|per|attn|contact|please|who|as)\b", re.I)
+SMALL = re.compile(r"(?<![\w'])(?!(?:and|the|of)\b)[a-z]")
 THAI_TITLE = re.compile("นาย|นาง|คุณ|ดร\\.")
 MONEY = re.compile(r"^\d+[.,]\d{2}$")
 
 
+def of_company(piece: str, begin: int, end: int) -> bool:
+    """Whether a span belongs to a company's name: a company word stands in it, or beside it with nothing but parts of a name between.
+
+    Behind a comma or bracket another name begins where the span has a title or a given name in full.
+    """
+    first = re.findall(r"[\w/]+", piece[max(0, begin - 6) : begin].lower())[-1:] + re.findall(r"[\w/]+", piece[begin:end].lower())[:1]
+    named = any(w in TITLES and w not in ("m/s", "messrs") or w in GIVEN for w in first)
+    mixed = any(c.isupper() for c in piece[begin:end]) and any(c.islower() for c in piece)
+    for m in COMPANY.finditer(piece):
+        if m.start() < end and begin < m.end():
+            return True
+        gap = piece[m.end() : begin] if m.end() <= begin else piece[end : m.start()]
+        if not (BETWEEN.search(gap) or mixed and SMALL.search(gap) or named and re.search("[,(]", gap)):
+            return True
+    return False
+
+
 def settled(piece: str, begin: int, end: int, kind: str) -> str | None:
     """An exact check of what a span of a type must hold, and of the word before its number; None where it fails."""
     part = piece[begin:end]
@@ -235,12 +257,12 @@ def settled(piece: str, begin: int, end: int, kind: str) -> str | None:
             return "id_number" if digits >= 5 else None
         # Without such a word it can only be a phone number: not the rest of a longer number, a document's number or money.
         cut = bool(re.search(r"[\w-]$", before))
-        return "phone" if digits >= (6 if kind == "phone" else 8) and not cut and not DOCUMENT_WORD.search(before) and not MONEY.match(part) else None
+        return "phone" if digits >= (6 if kind == "phone" else 8) and not cut and (PHONE_WORD.search(before) or not DOCUMENT_WORD.search(before)) and not MONEY.match(part) else None
     if kind == "email":
         return kind if re.search(r"@|\bat\b", part) else None
     if kind == "street_address":
         return kind if digits >= 1 and sum(c.isalpha() for c in part) >= 3 else None
-    if sum(c.isalpha() for c in part) < 2 or HEADING.match(piece) and COMPANY.search(piece):
+    if sum(c.isalpha() for c in part) < 2 or HEADING.match(piece) and of_company(piece, begin, end):
         return None
     # A Thai name without a title is a company's.
     thai = bool(re.search("[ก-๙]", part)) and not re.search("[A-Za-z]", part)
