@@ -1,9 +1,10 @@
 """Nested records as flat, linked tables (problem 3).
 
-Every record is read once, front to back, into path-value-ordinal triples. The
+Every record is parsed whole, then walked into path-value-ordinal triples. The
 triples are grouped by their repeated ancestor (the list they stand in) and
 each group is pivoted into one flat row per list entry, with the path of its
-parent. Nesting has no depth limit, so the walk keeps its own stack.
+parent. Nesting has no depth limit: the walk keeps its own stack, and so does the
+reading of a record that is too deep for `json`.
 
 A list may be written as an array, as an object with counting keys, as a lone
 object, or as any of these encoded as JSON text; all are read alike.
@@ -17,6 +18,7 @@ give repeated rows; `found` makes rows distinct. Extra columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +44,68 @@ def decode(text: str | None):
         return None
     try:
         return json.loads(text, object_pairs_hook=Pairs, parse_float=str, parse_int=str)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return decode_deep(text)
+    except ValueError:
+        return None
+
+
+BLANKS = re.compile(r"[ \t\n\r]*")
+SCALAR = re.compile(r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity")
+CONSTANTS = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def decode_deep(text: str):
+    """What `decode` gives, read token by token with a stack of the open objects and lists."""
+    nodes: list[list] = []
+    keys: list[str] = []
+
+    def member(at: int) -> int:
+        """Takes a key; where its value begins."""
+        if text[at : at + 1] != '"':
+            raise ValueError(at)
+        key, at = json.decoder.scanstring(text, at + 1, True)
+        at = BLANKS.match(text, at).end()
+        if text[at : at + 1] != ":":
+            raise ValueError(at)
+        keys.append(key)
+        return BLANKS.match(text, at + 1).end()
+
+    try:
+        at = BLANKS.match(text).end()
+        while True:
+            first = text[at : at + 1]
+            if first in ("[", "{"):
+                value = Pairs() if first == "{" else []
+                at = BLANKS.match(text, at + 1).end()
+                if text[at : at + 1] != ("}" if first == "{" else "]"):
+                    nodes.append(value)
+                    at = member(at) if first == "{" else at
+                    continue
+                at += 1
+            elif first == '"':
+                value, at = json.decoder.scanstring(text, at + 1, True)
+            elif found := SCALAR.match(text, at):
+                value, at = CONSTANTS.get(found[0], found[0]), found.end()
+            else:
+                return None
+            # The value ends here, and with it what closes behind it.
+            while True:
+                at = BLANKS.match(text, at).end()
+                if not nodes:
+                    return value if at == len(text) else None
+                node = nodes[-1]
+                inner = isinstance(node, Pairs)
+                node.append((keys.pop(), value) if inner else value)
+                last = text[at : at + 1]
+                if last == ",":
+                    at = BLANKS.match(text, at + 1).end()
+                    at = member(at) if inner else at
+                    break
+                if last != ("}" if inner else "]"):
+                    return None
+                at, value = at + 1, nodes.pop()
+    except ValueError:
         return None
 
 
@@ -76,7 +139,29 @@ def leaf(value) -> str | None:
         return value
     if isinstance(value, bool):
         return "true" if value else "false"
-    return json.dumps(plain(value), ensure_ascii=False)
+    try:
+        return json.dumps(plain(value), ensure_ascii=False)
+    except RecursionError:
+        return encode_deep(value)
+
+
+def encode_deep(value) -> str:
+    """The JSON of a value of any depth, as `json` spaces it."""
+    out: list[str] = []
+    stack: list[tuple[bool, object]] = [(False, value)]
+    while stack:
+        ready, x = stack.pop()
+        if ready:
+            out.append(x)
+        elif isinstance(x, Pairs):
+            parts = [p for n, (k, v) in enumerate(members(x).items()) for p in ((True, ", " * (n > 0) + json.dumps(k, ensure_ascii=False) + ": "), (False, v))]
+            stack += [(True, "}"), *reversed(parts), (True, "{")]
+        elif isinstance(x, list):
+            parts = [p for n, v in enumerate(x) for p in ((True, ", " * (n > 0)), (False, v))]
+            stack += [(True, "]"), *reversed(parts), (True, "[")]
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def plain(value):
