@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.strings import edits
-from ledgerloom.tables import spread, table
+from ledgerloom.tables import checkpoint, spread, table
 
 #: The share of an item's words that must stand in the document.
 SHARE = 0.4
@@ -69,20 +69,25 @@ def grams(words: list[str]) -> list[str]:
 
 
 class Index:
-    """BM25 postings of the items' word triples with block maxima."""
+    """BM25 postings of the items' word triples with block maxima.
 
-    def __init__(self, items: list[tuple[int, str]]):
+    Where the items are a block of more, `total`, `mean` and `holders` are the number of all items,
+    their mean length, and how many of them hold a triple (one item if it isn't named).
+    """
+
+    def __init__(self, items: list[tuple[int, str]], total: int | None = None, mean: float | None = None, holders: dict[str, int] | None = None):
         self.words = [words_of(t) for _, t in items]
         self.ids = [i for i, _ in items]
         self.places: dict[str, dict[int, list[int]]] = defaultdict(dict)
         for n, words in enumerate(self.words):
             for at, gram in enumerate(grams(words)):
                 self.places[gram].setdefault(n, []).append(at)
-        total = len(items)
-        mean = sum(map(len, self.words)) / max(1, total)
+        total = len(items) if total is None else total
+        mean = sum(map(len, self.words)) / max(1, total) if mean is None else mean
         self.postings: dict[str, tuple[list[int], list[float], list[float], float]] = {}
         for gram, where in self.places.items():
-            idf = math.log(1 + (total - len(where) + 0.5) / (len(where) + 0.5))
+            held = len(where) if holders is None else holders.get(gram, 1)
+            idf = math.log(1 + (total - held + 0.5) / (held + 0.5))
             docs = sorted(where)
             weights = [self.bm25(idf, len(where[n]), len(self.words[n]), mean) / self.threshold(n, total, mean) for n in docs]
             tops = [max(weights[k : k + BLOCK]) for k in range(0, len(docs), BLOCK)]
@@ -238,20 +243,39 @@ def leaks_of(text: str | None, index: Index, share: float = SHARE) -> list[int]:
     return [index.ids[n] for n in found if index.stretches(n, words, where) >= share]
 
 
+def item_grams(items: DataFrame) -> DataFrame:
+    """Per item (block, text): block, its number of words and its different triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(grams(w))) for w in words], pa.list_(pa.string()))], names=["block", "n", "grams"])
+
+    return items.select("block", "text").mapInArrow(run, "block bigint, n bigint, grams array<string>")
+
+
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """doc_id and item_id of each document (doc_id, text) and item (item_id, text) that it holds."""
     spark = documents.sparkSession
     usable = items.select("item_id", "text").filter(F.col("text").isNotNull())
     blocks = max(1, math.ceil(usable.count() / ITEMS_PER_BLOCK))
     placed = usable.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
+    total = mean = grouped = None
+    if blocks > 1:
+        # Weights and thresholds are those of one index over all items.
+        taken = checkpoint(item_grams(placed))
+        total, mean = taken.agg(F.count(F.lit(1)), F.avg("n")).first()
+        each = taken.select("block", F.explode("grams").alias("gram"))
+        grouped = checkpoint(each.groupBy("gram").agg(F.count(F.lit(1)).alias("held"), F.collect_set("block").alias("blocks")).filter("held > 1"))
     documents = spread(documents.select("doc_id", "text"))
     out = None
     for block in range(blocks):
         rows = [(r.item_id, r.text) for r in placed.filter(F.col("block") == block).collect()]
-        shared = spark.sparkContext.broadcast(rows)
+        holders = None if grouped is None else {r.gram: r.held for r in grouped.filter(F.array_contains("blocks", F.lit(block).cast("bigint"))).select("gram", "held").collect()}
+        shared = spark.sparkContext.broadcast((rows, total, mean, holders))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(*shared.value)
             for batch in batches:
                 keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 found = [(k, i) for k, t in zip(keys, texts, strict=True) for i in leaks_of(t, index, share)]

@@ -44,3 +44,15 @@ def test_best_two_equals_all_pairs():
             runs.append((rng.randrange(5, 20), (j, i), (j + rng.randrange(1, 12), i + rng.randrange(1, 12))))
         pairs = [a[0] + b[0] for a in runs for b in runs if a[2][0] < b[1][0] and a[2][1] < b[1][1]]
         assert leakage.best_two(runs) == max([*pairs, *[r[0] for r in runs]], default=0)
+
+
+def test_blocks_find_what_one_index_finds(spark, monkeypatch):
+    rng = random.Random(4)
+    phrase = fresh(rng, 45)
+    items = [(n, " ".join(phrase + fresh(rng, 55))) for n in range(30)] + [(n, " ".join(fresh(rng, 20 + n))) for n in range(30, 40)]
+    held = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame([(n, " ".join(fresh(rng, 40)) + " " + t) for n, t in items] + [(99, " ".join(fresh(rng, 30) + phrase + fresh(rng, 30)))], "doc_id bigint, text string")
+    want = {tuple(r) for r in leakage.leaks(docs, held).collect()}
+    assert {(n, n) for n, _ in items} <= want
+    monkeypatch.setattr(leakage, "ITEMS_PER_BLOCK", 7)
+    assert {tuple(r) for r in leakage.leaks(docs, held).collect()} == want
