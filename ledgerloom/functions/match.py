@@ -1,23 +1,24 @@
 """Tolerant equality of two JSON values.
 
 Values travel as JSON text, null and JSON null both standing for no value. The
-order of the rules matters: equal, null, number, date, container, text. Scalars
-stay in the JVM; containers nest to any depth, so only pairs in which both sides
-are containers (or text that holds one) go to a vectorised function.
+order of the rules matters: equal, null, number, date, container, text. All rules
+are column expressions. A pair of containers is flattened on both sides to leaves
+(path, container mark, value), texts that hold a container included; the sides
+match if they have the same paths with the same marks and the values of each path
+match by the rules for scalars. Only the flattening, a reading of JSON as a
+stream, runs in Python, and only for pairs of containers.
 """
 
 from __future__ import annotations
 
 import json
-import math
-import re
-from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions import jsontext
 from ledgerloom.functions.normalize import is_container, is_text, parse_date, parse_number, same_text, scalar_text, strip
 
 TOLERANCE = 1e-6
@@ -58,84 +59,99 @@ def scalars_match(a: Column, b: Column) -> Column:
 
 
 def values_match(a: Column, b: Column) -> Column:
-    """S1 for any two JSON values; the vectorised part sees containers only."""
-    both = holds_container(a) & holds_container(b)
-    deep = containers_match(F.when(both, a), F.when(both, b))
-    return F.when(both & ~(no_value(a) | no_value(b)), deep).otherwise(scalars_match(a, b))
+    """S1 for any two JSON values; the flattening sees pairs of containers only."""
+    both = holds_container(a) & holds_container(b) & ~(no_value(a) | no_value(b))
+    return F.when(both, containers_match(F.when(both, a), F.when(both, b))).otherwise(scalars_match(a, b))
 
 
-@F.pandas_udf(T.BooleanType())
-def containers_match(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else match(load(x), load(y)) for x, y in zip(a, b, strict=True)])
+def containers_match(a: Column, b: Column) -> Column:
+    """S8, S9 and U4 for two containers: equal paths and marks, and matching values under each path."""
+    pairs = open_pairs(a, b)
+    return F.coalesce(F.forall(pairs, lambda x: F.coalesce(scalars_match(x["one"], x["two"]), F.lit(False))), F.lit(False))
 
 
-def load(text: str):
-    try:
-        return json.loads(text)
-    except ValueError:
-        return text
+PAIRS = T.ArrayType(T.StructType([T.StructField("one", T.StringType()), T.StructField("two", T.StringType())]))
 
 
-def match(a, b) -> bool:
-    """The rules on parsed values, for containers and what they hold."""
-    try:
-        if a == b:
-            return True
-    except RecursionError:
-        return False
-    if a is None or b is None:
-        return False
-    x, y = to_number(a), to_number(b)
-    if x is not None and y is not None:
-        return abs(x - y) <= TOLERANCE
-    d, e = to_date(a), to_date(b)
-    if d is not None and e is not None:
-        return d == e
-    p, q = to_container(a), to_container(b)
-    if p is not None and q is not None:
-        if isinstance(p, list) and isinstance(q, list):
-            return len(p) == len(q) and all(match(x, y) for x, y in zip(p, q, strict=True))
-        if isinstance(p, dict) and isinstance(q, dict):
-            return p.keys() == q.keys() and all(match(v, q[k]) for k, v in p.items())
-        return False
-    if isinstance(a, str) and isinstance(b, str):
-        return " ".join(a.split()).lower() == " ".join(b.split()).lower()
-    return False
-
-
-def to_number(value) -> float | None:
-    if isinstance(value, (bool, int, float)):
-        return float(value)
-    if not isinstance(value, str):
-        return None
-    text = re.sub("[$€฿,]", "", value.strip()).strip()
-    if text.startswith("(") and text.endswith(")"):
-        text = "-" + text[1:-1]
-    try:
-        number = float(text)
-    except ValueError:
-        return None
-    return number if not math.isnan(number) else number
+@F.pandas_udf(PAIRS)
+def open_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The values that stand under equal paths and aren't written alike; null where the sides' paths or marks differ."""
+
+    def paired(one: str | None, two: str | None):
+        if one is None or two is None:
+            return None
+        left, right = flattened(one), flattened(two)
+        if left.keys() != right.keys():
+            return None
+        pairs = []
+        for path, (mark, value) in left.items():
+            other_mark, other = right[path]
+            if mark != other_mark:
+                return None
+            if value != other:
+                pairs.append({"one": value, "two": other})
+        return pairs
+
+    return pd.Series([paired(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
-DATE_LAYOUTS = ("%d/%m/%y", "%d/%m/%Y", "%Y-%m-%d", "%m/%d/%Y", "%B %d, %Y")
+def flattened(text: str) -> dict[str, tuple[str, str]]:
+    """The leaves of a JSON value, path to (mark, value). Opening marks are leaves too, so that empty containers and kinds of containers count.
 
+    A path is a list of keys and positions, each behind a mark that tells both apart. Of a repeated key the last value counts.
+    A text that isn't JSON is one leaf.
+    """
+    found: dict[str, tuple[str, str]] = {}
+    try:
+        walk(text, "", found)
+    except ValueError:
+        return {"": ("", json.dumps(text, ensure_ascii=False))}
+    return found
 
-def to_date(value):
-    if not isinstance(value, str) or value.strip().isdigit():
-        return None
-    for layout in DATE_LAYOUTS:
+
+def walk(text: str, root: str, found: dict[str, tuple[str, str]]) -> None:
+    """Puts the leaves of `text` into `found`; texts that hold containers are read in turn, each by its own stream."""
+    todo = [(root, text)]
+    while todo:
+        path, source = todo.pop()
         try:
-            return datetime.strptime(value.strip(), layout)
+            own = stream_leaves(source, path)
         except ValueError:
+            if path == root:
+                raise
+            found[path] = ("", json.dumps(source, ensure_ascii=False))
             continue
-    return None
-
-
-def to_container(value):
-    if isinstance(value, (list, dict)):
-        return value
-    if isinstance(value, str) and value.strip()[:1] in ("[", "{"):
-        found = load(value)
-        return found if isinstance(found, (list, dict)) else None
-    return None
+        for p, (mark, value) in own.items():
+            found[p] = (mark, value)
+            if mark == "" and value[:1] == '"':
+                inner = json.loads(value)
+                if inner.strip()[:1] in ("[", "{") and inner.strip():
+                    todo.append((p, inner.strip()))
+
+
+def stream_leaves(text: str, path: str) -> dict[str, tuple[str, str]]:
+    """The leaves of one JSON text, texts within it unread: path to (mark, JSON of the value)."""
+    found: dict[str, tuple[str, str]] = {}
+    open_: list[list] = []  # per open container: its path, its mark, the next position, the keys seen
+    here = path
+    for kind, content in jsontext.events(text):
+        if kind == jsontext.KEY_EVENT:
+            top = open_[-1]
+            here = f"{top[0]}.{content.replace('~', '~0').replace('.', '~1').replace('#', '~2')}"
+            if here in top[3]:
+                for p in [p for p in found if p == here or p.startswith((here + ".", here + "#"))]:
+                    del found[p]
+            top[3].add(here)
+            continue
+        if kind == jsontext.CLOSE:
+            open_.pop()
+            continue
+        if open_ and open_[-1][1] == "[":
+            here = f"{open_[-1][0]}#{open_[-1][2]}"
+            open_[-1][2] += 1
+        if kind == jsontext.OPEN:
+            found[here] = (content, "")
+            open_.append([here, content, 0, set()])
+        else:
+            found[here] = ("", json.dumps(content, ensure_ascii=False) if kind == jsontext.TEXT else content)
+    return found

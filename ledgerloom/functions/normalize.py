@@ -5,10 +5,13 @@ All of them give null for null and never raise on dirty text.
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Date formats tried when values are compared, day first, with the layout each must have.
+# Date formats tried when values are compared, day first, with the layout each must have.
 COMPARE_FORMATS = (
     ("d/M/yy", r"^\d{1,2}/\d{1,2}/\d{2}$"),
     ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
@@ -16,7 +19,7 @@ COMPARE_FORMATS = (
     ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
     ("MMMM d, yyyy", r"(?i)^(january|february|march|april|may|june|july|august|september|october|november|december) \d{1,2}, \d{4}$"),
 )
-#: Date formats that the validator accepts.
+# Date formats that the validator accepts.
 VALIDATE_FORMATS = (
     ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
     ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
@@ -52,10 +55,19 @@ def normalize_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(strip(name)), f"[{WHITE}-]+", "_"), "_+", "_")
 
 
+#: The decimal digits of all scripts but ASCII's, and what they stand for.
+DIGITS = "".join(chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) is not None)
+PLAIN_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
+
 def parse_number(text: Column) -> Column:
-    """The number in a text with currency signs, thousands commas or accounting brackets, else null."""
-    plain = F.translate(strip(text), "๐๑๒๓๔๕๖๗๘๙$€฿,", "0123456789")
-    plain = F.regexp_replace(F.regexp_replace(strip(plain), r"^\((.*)\)$", "-$1"), r"(?<=\d)_(?=\d)", "")
+    """The number in a text with currency signs, thousands commas or accounting brackets, else null.
+
+    Brackets count only where they stand at both ends once signs and commas are gone: a blank left outside of them makes it no number.
+    """
+    plain = F.translate(strip(text), DIGITS + "$€฿,", PLAIN_DIGITS)
+    plain = strip(F.regexp_replace(plain, r"(?s)^\((.*)\)$", "-$1"))
+    plain = F.regexp_replace(plain, r"(?<=\d)_(?=\d)", "")
     # One pattern lets through what is a number; whatever else a cast might take gives an empty text and so null.
     number = r"(?i)^([+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf|infinity|nan))$"
     return F.regexp_extract(plain, number, 1).try_cast("double")

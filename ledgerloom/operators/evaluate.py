@@ -13,48 +13,51 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import match, normalize
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """The readings of `value_json` that the rules need, worked out once per value and step by step, so that none is repeated."""
-    rows = rows.withColumns({"raw": normalize.strip(F.col("value_json")), "plain": normalize.scalar_text(F.col("value_json"))})
-    number = F.when(F.col("raw") == "true", 1.0).when(F.col("raw") == "false", 0.0).when(~F.substring("raw", 1, 1).isin("[", "{"), normalize.parse_number(F.col("plain")))
-    rows = rows.withColumns({"text": F.when(F.col("raw").startswith('"'), normalize.squeeze(F.col("plain"))), "number": number})
-    rows = rows.withColumn("day", F.when(~F.col("text").rlike(r"^\p{Nd}+$"), normalize.parse_date(F.col("text"))))
-    return rows.withColumn("v", F.struct(F.when(F.col("raw") != "null", F.col("value_json")).alias("json"), "raw", F.lower("text").alias("text"), "number", "day")).drop("raw", "plain", "text", "number", "day")
-
-
-def compare(predicted: DataFrame, truth: DataFrame, deep: bool = True) -> DataFrame:
+def compare(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Per doc_id and field both values, who has the field, and whether they match.
 
-    `predicted` and `truth` have doc_id, field, value_json and ord; each field once per document. With `deep` false
-    containers are compared as scalars, which keeps the whole plan in the JVM.
+    `predicted` and `truth` have doc_id, field, value_json and ord; each field once per document. The raw texts are
+    paired first; null and equal pairs are decided there, numbers are read only of what is left, and dates only
+    where numbers don't decide.
     """
     said = predicted.select("doc_id", "field", "value_json", F.lit(1).alias("in_pred"), F.lit(0).alias("in_truth"), F.lit(None).cast("bigint").alias("ord"))
     wanted = truth.select("doc_id", "field", "value_json", F.lit(0).alias("in_pred"), F.lit(1).alias("in_truth"), F.col("ord").cast("bigint").alias("ord"))
     # Only the raw values are exchanged; their readings are worked out behind the exchange, in parallel.
-    sides = typed(said.unionByName(wanted).repartition("doc_id"))
+    sides = said.unionByName(wanted).repartition("doc_id")
     own, other = F.col("in_pred") == 1, F.col("in_truth") == 1
     both = sides.groupBy("doc_id", "field").agg(
-        F.max(F.when(own, F.col("v"))).alias("p"),
-        F.max(F.when(other, F.col("v"))).alias("e"),
         F.max("in_pred").alias("in_pred"),
         F.max("in_truth").alias("in_truth"),
         F.max("ord").alias("ord"),
         F.max(F.when(own, F.col("value_json"))).alias("predicted"),
         F.max(F.when(other, F.col("value_json"))).alias("expected"),
     )
-    p, e = F.col("p"), F.col("e")
-    scalar = (
-        F.when(p["json"].isNull() | e["json"].isNull(), p["json"].isNull() & e["json"].isNull())
-        .when(p["raw"] == e["raw"], True)
-        .when(p["number"].isNotNull() & e["number"].isNotNull(), F.abs(p["number"] - e["number"]) <= match.TOLERANCE)
-        .when(p["day"].isNotNull() & e["day"].isNotNull(), p["day"] == e["day"])
-        .otherwise(F.coalesce(p["text"] == e["text"], F.lit(False)))
-    )
-    if deep:
-        boxes = match.holds_container(F.col("predicted")) & match.holds_container(F.col("expected"))
-        boxes = F.coalesce(boxes, F.lit(False))
-        scalar = F.when(boxes, match.containers_match(F.when(boxes, F.col("predicted")), F.when(boxes, F.col("expected")))).otherwise(scalar)
-    return both.withColumn("matched", scalar).drop("p", "e")
+    return matching(both)
+
+
+def matching(both: DataFrame) -> DataFrame:
+    """`both` (predicted, expected, ...) with `matched`, rule by rule, each rule read only where those before don't decide."""
+    rows = both.withColumns({"_p": normalize.strip(F.col("predicted")), "_e": normalize.strip(F.col("expected"))})
+    no_p, no_e = (F.col(c).isNull() | (F.col(c) == "null") for c in ("_p", "_e"))
+    rows = rows.withColumn("matched", F.when(no_p | no_e, no_p & no_e).when(F.col("_p") == F.col("_e"), True))
+    still = F.col("matched").isNull()
+    rows = rows.withColumns({f"{c}_text": F.when(still & ~F.substring(c, 1, 1).isin("[", "{"), normalize.scalar_text(F.col(c))) for c in ("_p", "_e")})
+    rows = rows.withColumns({f"{c}_number": F.when(F.col(c) == "true", 1.0).when(F.col(c) == "false", 0.0).otherwise(normalize.parse_number(F.col(f"{c}_text"))) for c in ("_p", "_e")})
+    numbers = F.col("_p_number").isNotNull() & F.col("_e_number").isNotNull()
+    rows = rows.withColumn("matched", F.when(still & numbers, F.abs(F.col("_p_number") - F.col("_e_number")) <= match.TOLERANCE).otherwise(F.col("matched")))
+    texts = still & F.col("_p").startswith('"') & F.col("_e").startswith('"')
+    # A date holds a digit and is short; other texts needn't be tried.
+    dated = texts & F.col("_p_text").rlike(r"\d.{0,24}$") & F.col("_e_text").rlike(r"\d.{0,24}$")
+    rows = rows.withColumns({f"{c}_day": F.when(dated & ~normalize.strip(F.col(f"{c}_text")).rlike(r"^\p{Nd}+$"), normalize.parse_date(F.col(f"{c}_text"))) for c in ("_p", "_e")})
+    days = F.col("_p_day").isNotNull() & F.col("_e_day").isNotNull()
+    opened = [F.col(c).rlike(r"^[\[{]") | (F.col(c).startswith('"') & F.coalesce(normalize.strip(F.col(f"{c}_text")).rlike(r"^[\[{]"), F.lit(False))) for c in ("_p", "_e")]
+    boxes = still & opened[0] & opened[1]
+    rows = rows.withColumn("_boxes", F.coalesce(boxes, F.lit(False)))
+    rows = rows.withColumn("matched", F.when(still & days, F.col("_p_day") == F.col("_e_day")).when(texts & ~F.col("_boxes"), normalize.same_text(F.col("_p_text"), F.col("_e_text"))).otherwise(F.col("matched")))
+    deep = match.containers_match(F.when(F.col("_boxes"), F.col("_p")), F.when(F.col("_boxes"), F.col("_e")))
+    rows = rows.withColumn("matched", F.coalesce(F.when(F.col("_boxes"), deep).otherwise(F.col("matched")), F.lit(False)))
+    # The generator keeps filters on `matched` from being pushed below, where each would repeat all readings.
+    return rows.select(*both.columns, F.explode(F.array("matched")).alias("matched"))
 
 
 def count_if(condition: Column) -> Column:

@@ -15,7 +15,14 @@ TRUTH = [
     ("total_amount", "cast(cast(o_totalprice as decimal(18,2)) as string)"),
     ("payment_terms", "concat('\"', o_orderpriority, '\"')"),
     ("currency", "'\"USD\"'"),
+    ("line_items", "concat('[{\"sku\":\"A', o_orderkey, '\",\"price\":', cast(o_totalprice as decimal(18,2)), '},{\"sku\":\"B\",\"price\":2.5}]')"),
 ]
+#: Predicted lists: in other order and case, as JSON text with numbers as text, too short, or an object.
+ITEMS = """case o_orderkey % 4
+    when 0 then concat('[{"price":', cast(o_totalprice as decimal(18,2)), ',"sku":"a', o_orderkey, '"}, {"sku":" B ","price":"2.50"}]')
+    when 1 then concat('"[{\\\\"sku\\\\":\\\\"A', o_orderkey, '\\\\",\\\\"price\\\\":\\\\"$', format_number(o_totalprice, 2), '\\\\"},{\\\\"sku\\\\":\\\\"B\\\\",\\\\"price\\\\":2.5}]"')
+    when 2 then concat('[{"sku":"A', o_orderkey, '","price":', cast(o_totalprice as decimal(18,2)), '}]')
+    else concat('{"sku":"A', o_orderkey, '","price":', cast(o_totalprice as decimal(18,2)), '}') end"""
 #: Predictions: order, name as typed, value, and the condition under which the field is there.
 PREDICTED = [
     (0, "PO No", "concat('\"PO-', o_orderkey, '\"')", "o_orderkey % 11 != 0"),
@@ -25,6 +32,7 @@ PREDICTED = [
     (4, "total", "cast(cast(o_totalprice as decimal(18,2)) as string)", "o_orderkey % 17 = 0"),
     (5, "terms", "case when o_orderkey % 13 = 0 then 'null' else concat('\"', lower(o_orderpriority), '\"') end", "true"),
     (6, "mystery_field", "'\"?\"'", "o_orderkey % 4 = 0"),
+    (7, "Line-Items", ITEMS, "o_orderkey % 3 != 0"),
 ]
 
 

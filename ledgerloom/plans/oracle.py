@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.functions.normalize import DIGITS, PLAIN_DIGITS
 from ledgerloom.operators import validate
 from ledgerloom.sources.catalog import TYPE_SYNONYMS, synonym_rows
 from ledgerloom.sources.ingest import MEDIA, MEDIA_TYPES
@@ -22,8 +23,9 @@ def norm(x: str) -> str:
 
 
 def number(x: str) -> str:
-    plain = f"regexp_replace(translate({strip(x)}, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '[$€฿,]', '', 'g')"
-    plain = rf"regexp_replace({strip(plain)}, '^\((.*)\)$', '-\1')"
+    plain = f"regexp_replace(translate({strip(x)}, '{DIGITS}', '{PLAIN_DIGITS}'), '[$€฿,]', '', 'g')"
+    plain = strip(rf"regexp_replace({plain}, '^\((.*)\)$', '-\1', 's')")
+    plain = rf"regexp_replace({plain}, '([0-9])_([0-9])', '\1\2', 'g')"
     return rf"case when regexp_matches({plain}, '^(?i:[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?|[+-]?(inf|infinity|nan))$') then try_cast({plain} as double) end"
 
 
@@ -112,6 +114,7 @@ TRUTH = """truth as (
     union all select k, 3, 'total_amount', cast(cast(t as decimal(18,2)) as varchar) from base
     union all select k, 4, 'payment_terms', '"' || pr || '"' from base
     union all select k, 5, 'currency', '"USD"' from base
+    union all select k, 6, 'line_items', '[{"sku":"A' || k || '","price":' || cast(t as decimal(18,2)) || '},{"sku":"B","price":2.5}]' from base
 )"""
 PREDICTED = """predicted as (
     select k as doc_id, 0 as ord, 'po_number' as field, '"PO-' || k || '"' as v from base where k % 11 <> 0
@@ -121,15 +124,27 @@ PREDICTED = """predicted as (
     union all select k, 4, 'total_amount', cast(cast(t as decimal(18,2)) as varchar) from base where k % 17 = 0
     union all select k, 5, 'payment_terms', case when k % 13 = 0 then 'null' else '"' || lower(pr) || '"' end from base
     union all select k, 6, 'mystery_field', '"?"' from base where k % 4 = 0
+    union all select k, 7, 'line_items', case k % 4
+        when 0 then '[{"price":' || cast(t as decimal(18,2)) || ',"sku":"a' || k || '"}, {"sku":" B ","price":"2.50"}]'
+        when 1 then cast(to_json('[{"sku":"A' || k || '","price":"$' || format('{:,.2f}', t) || '"},{"sku":"B","price":2.5}]') as varchar)
+        when 2 then '[{"sku":"A' || k || '","price":' || cast(t as decimal(18,2)) || '}]'
+        else '{"sku":"A' || k || '","price":' || cast(t as decimal(18,2)) || '}' end from base where k % 3 <> 0
 )"""
 TEXT_P, TEXT_E = "json_extract_string('{\"v\":' || p.v || '}', '$.v')", "json_extract_string('{\"v\":' || e.v || '}', '$.v')"
+#: Lists of flat objects with the keys sku and price: as many of them, and equal by the rules for texts and numbers in turn.
+ITEM = "(json_keys(z[1])[:] is not null and list_sort(json_keys(z[1])) = list_sort(json_keys(z[2])) and lower({0}) = lower({1}) and abs({2} - {3}) <= 1e-6)".format(
+    squeeze("json_extract_string(z[1], '$.sku')"), squeeze("json_extract_string(z[2], '$.sku')"), number("json_extract_string(z[1], '$.price')"), number("json_extract_string(z[2], '$.price')")
+)
+BOXES = f"""case when json_type(pj) <> 'ARRAY' or json_type(ej) <> 'ARRAY' then false
+    else len(from_json(pj, '["json"]')) = len(from_json(ej, '["json"]')) and list_bool_and(list_transform(list_zip(from_json(pj, '["json"]'), from_json(ej, '["json"]')), lambda z: {ITEM})) end"""
 COMPARED = f"""{ORDERS}, {TRUTH}, {PREDICTED}, sided as (
     select coalesce(p.doc_id, e.doc_id) as doc_id, coalesce(p.field, e.field) as field, e.ord, p.v as predicted, e.v as expected, p.doc_id is not null as in_pred, e.doc_id is not null as in_truth,
-        nullif(p.v, 'null') as pv, nullif(e.v, 'null') as ev, {number(TEXT_P)} as pn, {number(TEXT_E)} as en, {day(TEXT_P, COMPARE)} as pd, {day(TEXT_E, COMPARE)} as ed, lower({squeeze(TEXT_P)}) as pt, lower({squeeze(TEXT_E)}) as et
+        nullif(p.v, 'null') as pv, nullif(e.v, 'null') as ev, {number(TEXT_P)} as pn, {number(TEXT_E)} as en, {day(TEXT_P, COMPARE)} as pd, {day(TEXT_E, COMPARE)} as ed, lower({squeeze(TEXT_P)}) as pt, lower({squeeze(TEXT_E)}) as et,
+        case when p.field = 'line_items' and e.field = 'line_items' then case when starts_with(p.v, '"') then {TEXT_P} else p.v end end as pj, case when p.field = 'line_items' and e.field = 'line_items' then e.v end as ej
     from predicted p full join truth e on p.doc_id = e.doc_id and p.field = e.field
 ), compared as (
     select doc_id, field, ord, predicted, expected, in_pred, in_truth,
-        case when pv is null or ev is null then pv is null and ev is null when pv = ev then true when pn is not null and en is not null then abs(pn - en) <= 1e-6
+        case when pv is null or ev is null then pv is null and ev is null when pv = ev then true when pj is not null and ej is not null then {BOXES} when pn is not null and en is not null then abs(pn - en) <= 1e-6
             when pd is not null and ed is not null then pd = ed else coalesce(pt = et and pv[1] = '"' and ev[1] = '"', false) end as matched from sided
 )"""
 COUNTS = "count(*) filter (in_truth and matched) as tp, count(*) filter (in_truth and not matched) as fn, count(*) filter (in_pred and not matched) as fp"
@@ -160,6 +175,8 @@ def sql() -> dict[str, str]:
         "auto_evaluate": f"with {COMPARED}, {BY_DOC}, files as (select case when o_orderkey % 9 = 0 then 'scan.' || o_orderkey else 'in/po_' || o_orderkey || '.v1.pdf' end as filename, case when o_orderkey % 9 = 0 then 'scan' else 'po_' || o_orderkey || '.v1' end as stem from orders) select filename, stem, f1 from files left join by_doc on stem = 'po_' || doc_id || '.v1'",
         "rename_predictions": f"with {ORDERS}, {PREDICTED} select doc_id, cast(ord as bigint) as ord, field, v as value_json from predicted",
         "values_match_scalar": f"with {COMPARED} select doc_id, field, predicted, expected, matched from compared",
+        "values_match_container": f"""select doc_id, bool_and(abs(a_no - {number('b_no')}) <= 1e-6 and abs(a_qty - {number('b_qty')}) <= 1e-6 and lower({squeeze('a_flag')}) = lower({squeeze('b_flag')})) as matched from (
+            select l_orderkey as doc_id, l_linenumber as a_no, l_quantity as a_qty, l_returnflag as a_flag, cast(case when l_orderkey % 3 = 0 then l_linenumber + 1 else l_linenumber end as varchar) as b_no, ' ' || l_quantity as b_qty, lower(l_returnflag) as b_flag from lineitem) group by doc_id""",
         "normalize_names": f"select name, {norm('name')} as norm from (select distinct name from extracted_fields where name is not null)",
         "alias_resolve": f"with {ALIASES} select doc_type, name, {alias('doc_type', 'n')} as canonical from (select distinct doc_type, name, {norm('name')} as n from extracted_fields where name is not null)",
         "doc_type_canonical": f"select raw, coalesce({canonical('raw')}, raw) as doc_type, {canonical('raw')} is null as out_of_catalog from (select distinct doc_type as raw from routing_responses where doc_type is not null)",

@@ -71,7 +71,7 @@ def string_equal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def values_match_scalar(spark: SparkSession, folder: str) -> DataFrame:
-    both = evaluate.compare(renamed(spark, folder), truth(spark, folder), deep=False)
+    both = evaluate.compare(renamed(spark, folder), truth(spark, folder))
     return both.select("doc_id", "field", "predicted", "expected", "matched")
 
 
@@ -100,15 +100,15 @@ def rename_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def evaluate_f1_by_doc(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.evaluate(evaluate.compare(renamed(spark, folder), truth(spark, folder), deep=False))
+    return evaluate.evaluate(evaluate.compare(renamed(spark, folder), truth(spark, folder)))
 
 
 def evaluate_mismatches(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluate.mismatches(evaluate.compare(renamed(spark, folder), truth(spark, folder), deep=False))
+    return evaluate.mismatches(evaluate.compare(renamed(spark, folder), truth(spark, folder)))
 
 
 def corpus_rollup(spark: SparkSession, folder: str) -> DataFrame:
-    compared = evaluate.compare(renamed(spark, folder), truth(spark, folder), deep=False).withColumn("doc_type", F.lit("po"))
+    compared = evaluate.compare(renamed(spark, folder), truth(spark, folder)).withColumn("doc_type", F.lit("po"))
     return evaluate.corpus_rollup(compared)
 
 

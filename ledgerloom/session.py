@@ -14,6 +14,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Methods beyond this many bytes are never compiled by the JVM; smaller ones, one per expression, are.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.driver.memory", os.environ.get("LEDGERLOOM_MEMORY", memory))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
