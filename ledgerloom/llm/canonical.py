@@ -23,11 +23,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.vocabulary import OTHER_THINGS, SHORT_FORMS, wordings
+from ledgerloom.llm import vocabulary
+from ledgerloom.llm.vocabulary import SHORT_FORMS
+from ledgerloom.sources.catalog import TYPE_SYNONYMS, synonym_rows
 from ledgerloom.tables import checkpoint, table
 
 #: The least Jaccard similarity of two sets of letter pairs.
-THRESHOLD = 0.33
+THRESHOLD = 0.4
 
 # Words around a name that say nothing about it.
 FILLERS = frozenset("the doc of for if any a an".split())
@@ -92,20 +94,42 @@ def map_values(values: DataFrame, phrases: DataFrame, threshold: float = THRESHO
     unique = pairs.dropDuplicates(["list", "value", "phrase"])
     shared = F.size(F.array_intersect("value_pairs", "phrase_pairs"))
     scored = unique.withColumn("similarity", shared / (n + m - shared)).filter(F.col("similarity") >= threshold)
-    # A wording known to mean no entry counts only where it stands as it is.
-    meant = scored.join(phrases, ["list", "phrase"]).filter((F.col("term_id") != 0) | (F.col("similarity") == 1))
+    meant = scored.join(phrases, ["list", "phrase"])
     best = meant.groupBy("list", "value").agg(F.max(F.struct("similarity", (-F.col("term_id")).alias("other"))).alias("best"))
     return best.select("list", "value", (-F.col("best.other")).alias("term_id"), F.col("best.similarity").alias("similarity"))
 
 
-def catalog_phrases(spark: SparkSession, terms: DataFrame) -> DataFrame:
-    """The entries' own names and their wordings: list, phrase, term_id. The wordings' number is fixed by the vocabulary."""
-    named = terms.select(F.when(F.col("kind") == "field", F.col("doc_type")).otherwise("").alias("list"), F.col("name").alias("phrase"), "term_id")
-    rows = [(kind, field, phrase) for kind in ("", "invoice", "po", "delivery_note") for field, words in wordings(kind).items() for phrase in sorted(words)]
-    known = spark.createDataFrame(rows, "list string, name string, wording string")
-    said = named.join(known.withColumnRenamed("name", "phrase"), ["list", "phrase"]).select("list", F.col("wording").alias("phrase"), "term_id")
-    other = spark.createDataFrame([(kind, phrase, 0) for kind in ("", "invoice", "po", "delivery_note") for phrase in OTHER_THINGS], "list string, phrase string, term_id bigint")
-    return named.unionByName(said).unionByName(other).distinct()
+@F.pandas_udf(T.StringType())
+def plain_words(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: " ".join(words_of(v)) if v and v.strip() else "")
+
+
+def listed_terms(terms: DataFrame) -> DataFrame:
+    """The catalog with `list`: the document type of a field, nothing for a document type."""
+    return terms.select(F.when(F.col("kind") == "field", F.col("doc_type")).otherwise("").alias("list"), "name", "description", "term_id")
+
+
+#: Entries whose descriptions are read on the driver, at most; a reference list beyond it is an error.
+LIST_LIMIT = 100_000
+
+
+def catalog_phrases(spark: SparkSession, terms: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Wordings of the entries (list, phrase, term_id) by names, descriptions and a table of `synonyms` (list, phrase, name)."""
+    own = listed_terms(terms)
+    rows = own.limit(LIST_LIMIT + 1).collect()
+    if len(rows) > LIST_LIMIT:
+        raise ValueError(f"a reference list of more than {LIST_LIMIT} entries")
+    found = vocabulary.described([(r.list, r.name, r.description, r.term_id) for r in rows if r.list is not None and r.name])
+    out = spark.createDataFrame(found, "list string, phrase string, term_id bigint")
+    if synonyms is not None:
+        out = out.unionByName(synonyms.join(own.select("list", "name", "term_id"), ["list", "name"]).select("list", "phrase", "term_id"))
+    return out.distinct()
+
+
+def known_synonyms(spark: SparkSession) -> DataFrame:
+    """The synonyms of fields and document types that the catalog comes with, as list, phrase, name."""
+    rows = [(kind, word.replace("_", " "), name) for kind, word, name in synonym_rows()] + [("", word, name) for word, name in TYPE_SYNONYMS.items()]
+    return spark.createDataFrame(rows, "list string, phrase string, name string")
 
 
 def blank(column: str) -> Column:
@@ -123,17 +147,27 @@ def map_column(rows: DataFrame, phrases: DataFrame, names: DataFrame) -> DataFra
     return rows.join(checkpoint(found), ["list", "value"], "left").withColumns({"term_id": F.coalesce("term_id", F.lit(0).cast("bigint")), "exact": F.coalesce("exact", F.lit(False))})
 
 
-def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The catalog entry that each freely entered value means, 0 for none: src, row_id, pos, term_id."""
+def p6_found(spark: SparkSession, folder: str, synonyms: DataFrame | None = None) -> DataFrame:
+    """The catalog entry that each freely entered value means, 0 for none: src, row_id, pos, term_id.
+
+    `synonyms` (list, phrase, name) may add wordings to those of the catalog and of the data.
+    """
     terms = table(spark, folder, "catalog_terms")
-    phrases = catalog_phrases(spark, terms)
-    names = terms.select(F.when(F.col("kind") == "field", F.col("doc_type")).otherwise("").alias("list"), F.col("name").alias("value"), "term_id").dropDuplicates(["list", "value"])
+    names = listed_terms(terms).select("list", F.col("name").alias("value"), "term_id").dropDuplicates(["list", "value"])
     types = names.filter("list = ''").select("term_id", F.col("value").alias("type_name"))
+    responses = table(spark, folder, "routing_responses", "response_id", "result_id", "doc_type", "suggested_fields")
+    told = responses.select("response_id", F.explode("suggested_fields").alias("f")).select("response_id", "f.name", "f.description").distinct()
+    known = known_synonyms(spark)
+    phrases = catalog_phrases(spark, terms, known if synonyms is None else known.unionByName(synonyms))
+    results = table(spark, folder, "extraction_results", "result_id", "doc_type").filter("doc_type is not null")
+    learned = vocabulary.learned_types(responses.select("result_id", "doc_type"), results, names.filter("list = ''").select(F.col("value").alias("phrase"), "term_id"), plain_words)
+    learned = learned.unionByName(vocabulary.learned_names(told, listed_terms(terms), plain_words))
+    # What was learned of a wording stands behind what the catalog says of it.
+    phrases = checkpoint(phrases.unionByName(learned.join(phrases.select("list", "phrase"), ["list", "phrase"], "left_anti")))
 
-    responses = table(spark, folder, "routing_responses", "response_id", "doc_type", "suggested_fields")
     typed = responses.filter(~blank("doc_type")).select(F.lit("").alias("list"), F.col("doc_type").alias("value"), F.col("response_id").alias("row_id"), F.lit(0).cast("bigint").alias("pos"), F.lit("routing_responses.doc_type").alias("src"))
     meant = map_column(typed.select("list", "value").distinct(), phrases, names)
-    of_type = meant.filter("term_id != 0").join(F.broadcast(types), "term_id").select(F.col("value").alias("doc_type"), "type_name")
+    of_type = meant.filter("term_id != 0").join(types, "term_id").select(F.col("value").alias("doc_type"), "type_name")
 
     suggested = (
         responses.select("response_id", "doc_type", F.posexplode("suggested_fields").alias("at", "field"))

@@ -1,11 +1,20 @@
-"""Wordings that people use for the entries of the catalog, as rules.
+"""Wordings of the entries of a reference list, taken from the list itself and from the data.
 
-Parties and what is said of them combine to phrases; what doesn't combine is listed.
-A caller may pass other phrases to `canonical.map_values`.
+An entry's name is a wording of it. Its description may name synonyms behind a
+colon or joined by "or"; a synonym of the one party that a name speaks of holds
+for all entries of the list that speak of it. Further wordings come from a table
+of synonyms that the caller passes, and from the data: a value entered together
+with an entry's own description is a wording of that entry, and a document type
+that goes with one type of result nearly always is a wording of that type.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 # Short forms of words in field and document names.
 SHORT_FORMS = dict(
     pair.split("=")
@@ -16,91 +25,67 @@ SHORT_FORMS = dict(
     ).split()
 )
 
-#: Per document type, each party's field prefix with the words people use for it.
-PARTIES = {
-    "invoice": {"seller": "seller|vendor|supplier|merchant", "bill_to": "bill to|billed to|client|customer|buyer|billing"},
-    "po": {"supplier": "supplier|vendor|seller", "buyer": "buyer|purchaser|customer|ordered by", "ship_to": "ship to|deliver to|shipping|drop off|delivery"},
-    "delivery_note": {"recipient": "recipient|receiver|consignee|deliver to|delivery", "sender": "sender|shipper|consignor|ship from|dispatched from"},
-}
-#: What is said of a party, with the words for it; the empty wording is the party alone.
-SAID = {"name": "name|", "address": "address", "phone": "phone|telephone|contact number", "email": "email|e mail|mail|mail address"}
-#: Combinations that mean another field.
-EXCEPT = {("bill_to", "billing"), ("bill_to", "customer"), ("ship_to", ""), ("recipient", "delivery"), ("buyer", "")}
-
-# Other wordings of an entry.
-WORDINGS = {
-    "invoice": {
-        "invoice_number": "bill number|invoice id|receipt number|número de factura|เลขที่ใบแจ้งหนี้",
-        "invoice_date": "date of issue|issue date|billing date|statement date|bill date|วันที่ออกใบแจ้งหนี้",
-        "seller_name": "sold by|ผู้ขาย",
-        "bill_to_name": "ลูกค้า",
-        "customer_number": "client number|account number|customer id",
-        "payment_due_date": "pay by|payment by|pay by date|due date|payment deadline|vencimiento|กำหนดชำระ",
-        "currency": "currency code|money unit|moneda|สกุลเงิน",
-        "subtotal_amount": "sub total|amount before tax|net amount|total excl vat",
-        "tax_amount": "vat|vat amount|gst|sales tax|ภาษีมูลค่าเพิ่ม",
-        "total_amount": "grand total|invoice total|total payable|amount due|balance due|ยอดรวม",
-        "paid_amount": "payments received|already paid",
-        "line_items": "items|positions|line details|invoice lines|charges",
-    },
-    "po": {
-        "po_number": "order number|purchase order number|po ref|เลขที่ใบสั่งซื้อ",
-        "order_date": "po date|date ordered|purchase date|issue date|วันที่สั่งซื้อ",
-        "supplier_name": "order to|ผู้ขาย",
-        "buyer_name": "purchaser|ordered by|buyer|ผู้ซื้อ",
-        "requested_delivery_date": "delivery date|required by|need by date|expected delivery|date delivery requested|กำหนดส่งของ",
-        "total_amount": "order total|order value|total value|grand total|ยอดรวม",
-        "currency": "currency code|money unit|moneda|สกุลเงิน",
-        "payment_terms": "terms|pay terms|settlement terms|เงื่อนไขการชำระเงิน",
-        "line_items": "items|articles|ordered items|order lines",
-        "notes": "special instructions|comments|remarks|หมายเหตุ",
-    },
-    "delivery_note": {
-        "delivery_note_number": "dn number|do number|delivery number|slip number|delivery order number|เลขที่ใบส่งของ",
-        "delivery_date": "date delivered|shipment date|received on|วันที่ส่ง",
-        "delivered_by": "haulier|courier|carrier|driver|transporter|ผู้ขนส่ง",
-        "recipient_name": "ผู้รับ",
-        "items": "goods list|contents|รายการสินค้า",
-        "total_weight": "gross weight|shipment weight|overall weight|น้ำหนักรวม",
-        "package_count": "packages|number of packages|number of cartons|carton count",
-        "vehicle_plate": "license plate|truck number|lorry registration|ทะเบียนรถ",
-        "notes": "instructions|handling remarks|comments|remarks|หมายเหตุ",
-    },
-    "": {
-        "invoice": "bill|tax invoice|sales invoice|billing statement|statement of account|rechnung|factura|ใบแจ้งหนี้",
-        "po": "p o|purchase order|buying order|order form|orden de compra|bestellung|ใบสั่งซื้อ",
-        "delivery_note": "dn|d o|delivery order|delivery slip|despatch note|dispatch note|consignment note|albarán|lieferschein|ใบส่งของ",
-        "receipt": "cash receipt|till receipt|official receipt|sales slip|recibo|quittung|ใบเสร็จรับเงิน",
-        "credit_note": "cr note|credit memo|credit memorandum|nota de crédito|gutschrift|ใบลดหนี้",
-        "quotation": "quote|price offer|estimate|cotización|angebot|ใบเสนอราคา",
-        "packing_list": "packing slip|pack list|carton list|lista de empaque|packliste|ใบบรรจุสินค้า",
-        "bill_of_lading": "bol|b l|waybill sea|lading bill|conocimiento de embarque|konnossement|ใบตราส่งสินค้า",
-        "customs_declaration": "customs form|customs entry|import declaration|declaración de aduana|zollerklärung|ใบขนสินค้า",
-        "timesheet": "time sheet|hours log|work hours record|hoja de horas|stundenzettel|ใบลงเวลา",
-        "expense_claim": "expense report|expenses claim form|reimbursement form|informe de gastos|spesenabrechnung|ใบเบิกค่าใช้จ่าย",
-        "payslip": "pay slip|pay stub|salary slip|nómina|lohnabrechnung|สลิปเงินเดือน",
-        "bank_statement": "statement from bank|account activity bank|extracto bancario|kontoauszug|รายการเดินบัญชี",
-        "medical_form": "health form|clinic form|patient form|medical record form|formulario médico|arztformular|แบบฟอร์มแพทย์",
-        "id_card": "identity card|identification card|national id|card id|documento de identidad|personalausweis|บัตรประชาชน",
-    },
-}
-
-
-def wordings(doc_type: str) -> dict[str, set[str]]:
-    """Field (or, for the empty doc_type, document type) names with all wordings of each."""
-    out: dict[str, set[str]] = {}
-    for party, names in PARTIES.get(doc_type, {}).items():
-        for said, words in SAID.items():
-            field = f"{party}_{said}"
-            for name in names.split("|"):
-                for word in words.split("|"):
-                    if (party, name if word == "" else None) in EXCEPT or (party == "ship_to" and word != "address"):
-                        continue
-                    out.setdefault(field, set()).add(f"{name} {word}".strip())
-    for field, words in WORDINGS.get(doc_type, {}).items():
-        out.setdefault(field, set()).update(words.split("|"))
-    return out
-
-
-# Wordings close to those of an entry that mean something else.
-OTHER_THINGS = ("table of contents", "recipe", "sheet music", "vote", "qr code", "restaurant menu", "sello de goma", "staple count")
+#: Times that a wording must be seen, and the least share (lower bound) that must mean one entry.
+SUPPORT, SHARE = 2, 0.6
+#: The same for document types, whose meaning shows only by what goes with them.
+TYPE_SUPPORT, TYPE_SHARE = 8, 0.65
+
+
+def described(rows: list[tuple[str, str, str | None, int]]) -> list[tuple[str, str, int]]:
+    """(list, phrase, term_id) of the entries (list, name, description, term_id) by their names and descriptions."""
+    out = {(kind, name, term) for kind, name, _, term in rows}
+    for kind, name, description, term in rows:
+        told = re.search(r":\s*(.+)$", description or "")
+        words = [w.strip() for w in re.split(r",|\bor\b", told[1])] if told else []
+        words += re.findall(r"^(\w+) or (\w+) who\b", description or "")[0] if re.match(r"\w+ or \w+ who\b", description or "") else []
+        subject = name.removesuffix("_name") if name.endswith("_name") else None
+        for word in filter(None, words):
+            out.add((kind, word, term))
+            if subject is None:
+                continue
+            # The synonym names the party; what the list says of the party is said of the synonym too.
+            for other_kind, other, _, other_term in rows:
+                if other_kind == kind and other.startswith(subject + "_"):
+                    out.add((kind, word + " " + other[len(subject) + 1 :].replace("_", " "), other_term))
+        if subject is not None:
+            out.add((kind, subject.replace("_", " "), term))
+        # A sum is also called by what it is a sum of, an address by the party alone it is not.
+        if name.endswith("_amount") and told:
+            out.update((kind, f"{word} amount", term) for word in words)
+    return sorted(out)
+
+
+def lower_bound(hits, total):
+    """The lower end of Wilson's interval of a share, at two standard errors."""
+    share = hits / total
+    return (share + 2 / total - 2 * F.sqrt(share * (1 - share) / total + 1 / (total * total))) / (1 + 4 / total)
+
+
+def majority(rows: DataFrame, keys: list[str], support: int, least: float) -> DataFrame:
+    """Of `rows` (keys, term_id, one per sighting) the term that a key means nearly always."""
+    each = rows.groupBy(*keys, "term_id").agg(F.count(F.lit(1)).alias("hits"))
+    sums = each.groupBy(*keys).agg(F.sum("hits").alias("total"), F.max(F.struct("hits", (-F.col("term_id")).alias("other"))).alias("best"))
+    good = sums.filter((F.col("best.hits") >= support) & (lower_bound(F.col("best.hits"), F.col("total")) >= least))
+    return good.select(*keys, (-F.col("best.other")).alias("term_id"))
+
+
+def learned_names(suggested: DataFrame, terms: DataFrame, plain) -> DataFrame:
+    """list, phrase, term_id of the names that were suggested (name, description) with an entry's own description.
+
+    `plain` brings a name to its words. An entry of several lists with one description gets the wording in each.
+    """
+    told = suggested.filter("name is not null and description is not null").select(plain(F.col("name")).alias("phrase"), F.lower(F.trim("description")).alias("description"))
+    own = terms.filter("description is not null").select("list", "term_id", F.lower(F.trim("description")).alias("description"))
+    seen = told.filter("phrase != ''").groupBy("phrase", "description").agg(F.count(F.lit(1)).alias("n"))
+    rows = seen.join(own, "description").groupBy("list", "phrase", "term_id").agg(F.sum("n").alias("hits"))
+    best = rows.groupBy("list", "phrase").agg(F.sum("hits").alias("total"), F.max(F.struct("hits", (-F.col("term_id")).alias("other"))).alias("best"))
+    good = best.filter((F.col("best.hits") >= SUPPORT) & (F.col("best.hits") >= SHARE * F.col("total")))
+    return good.select("list", "phrase", (-F.col("best.other")).alias("term_id"))
+
+
+def learned_types(answers: DataFrame, results: DataFrame, types: DataFrame, plain) -> DataFrame:
+    """list, phrase, term_id of the document types of `answers` (result_id, doc_type) that go with one type of `results` (result_id, doc_type)."""
+    said = answers.filter("doc_type is not null").select("result_id", plain(F.col("doc_type")).alias("phrase")).filter("phrase != ''").distinct()
+    known = results.select("result_id", F.col("doc_type").alias("name")).distinct().join(types.select(F.col("phrase").alias("name"), "term_id"), "name")
+    rows = said.join(known.select("result_id", "term_id"), "result_id")
+    return majority(rows, ["phrase"], TYPE_SUPPORT, TYPE_SHARE).select(F.lit("").alias("list"), "phrase", "term_id")

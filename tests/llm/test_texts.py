@@ -149,15 +149,6 @@ def test_join_equals_all_pairs(spark):
     assert {(r.list, r.value): r.term_id for r in got.collect()} == brute(values, phrases, 0.5)
 
 
-def test_wordings(spark, tiny):
-    terms = spark.read.parquet(f"{tiny}/catalog_terms.parquet")
-    names = {r.term_id: r.name for r in terms.collect()}
-    phrases = canonical.catalog_phrases(spark, terms)
-    cases = {("invoice", "selelr_name"): "seller_name", ("invoice", "address of vendor"): "seller_address", ("invoice", "vencimiento"): "payment_due_date", ("po", "doc Deliver To Address"): "ship_to_address", ("delivery_note", "TTL WT"): "total_weight", ("", "Rechnung"): "invoice"}
-    got = {(r.list, r.value): names[r.term_id] for r in canonical.map_values(spark.createDataFrame([*cases, ("invoice", "shoe size"), ("invoice", "???")], "list string, value string"), phrases).collect()}
-    assert got == cases
-
-
 def test_map_column_keeps_all_rows(spark):
     rows = spark.createDataFrame([("a", "x y", 1), ("a", "x y", 1), (None, "z", 2), ("a", "Name", 3), ("a", "name", 4), ("b", "name", 5)], "list string, value string, row_id bigint")
     phrases = spark.createDataFrame([("a", "name", 7)], "list string, phrase string, term_id bigint")
