@@ -14,6 +14,8 @@ def queries() -> dict:
         "p6_found": canonical.p6_found,
         "p7_ids": tokens.p7_ids,
         "p8_found": leakage.p8_found,
+        "p8_overlap": leakage.p8_overlap,
+        "p8_leaked_items": leakage.p8_leaked_items,
         "p9_found": quality.p9_found,
         "p9_stats": quality.p9_stats,
     }

@@ -93,13 +93,53 @@ def test_wand_finds_all_above_the_threshold():
     items, documents, _ = leak_cases()
     index = leakage.Index([(i, " ".join(w)) for i, w in items.items()])
     for text in documents.values():
-        query = leakage.grams(leakage.words_of(text))[:120]
+        query = {index.number[g] for g in leakage.grams(leakage.words_of(text))[:120] if g in index.number}
         scores = {}
-        for gram in set(query):
-            if gram in index.postings:
-                for n, w in zip(*index.postings[gram][:2], strict=True):
-                    scores[n] = scores.get(n, 0.0) + w
-        assert index.search(query) == {n for n, s in scores.items() if s >= 1}
+        for gram in query:
+            for n, w in list(zip(*index.postings[gram][:2], strict=True))[:-1]:
+                scores[n] = scores.get(n, 0.0) + w
+        assert index.search(list(query)) == {n for n, s in scores.items() if s >= 1}
+
+
+def test_wand_on_long_lists():
+    """Lists of many blocks, with weights that reach the threshold in few of them only."""
+    rng = random.Random(11)
+    index = leakage.Index([(0, "a b c")])
+    for trial in range(300):
+        index.postings, scores = [], {}
+        for _ in range(rng.randrange(1, 12)):
+            docs = sorted(rng.sample(range(400), rng.randrange(1, 200)))
+            weights = [rng.choice((0.05, 0.1, 0.1, 0.6)) for _ in docs]
+            blocks = range(0, len(docs), leakage.BLOCK)
+            index.postings.append(([*docs, leakage.END], [*weights, 0.0], [*(max(weights[k : k + leakage.BLOCK]) for k in blocks), 0.0], [*(docs[min(k + leakage.BLOCK, len(docs)) - 1] for k in blocks), leakage.END], max(weights)))
+            for n, w in zip(docs, weights, strict=True):
+                scores[n] = scores.get(n, 0.0) + w
+        unsure = {n for n, s in scores.items() if abs(s - 1) < 1e-6}
+        assert index.search(list(range(len(index.postings)))) - unsure == {n for n, s in scores.items() if s >= 1} - unsure, trial
+
+
+def test_short_items_and_short_documents():
+    rng = random.Random(3)
+    items = {1: "alpha bravo carol delta emily frank", 2: "zulu yankee", 3: "xray", 4: "one two three"} | {n: " ".join(sentence(rng, 90)) for n in range(10, 200)}
+    index = leakage.Index(list(items.items()))
+    cases = {"Alpha, bravo carol delta - emily frank": [1], "zulu yankee": [2], "the yankee zulu": [], "an XRAY here": [3], "one two three": [4], "one two": [], "alpha bravo carol": [], "": [], "zulu yankee one two three xray": [2, 3, 4]}
+    assert {text: sorted(leakage.leaks_of(text, index)) for text in cases} == cases
+    assert leakage.leaks_of(" ".join(sentence(rng, 200)) + " zulu yankee", index) == [2]
+
+
+def test_items_that_share_all_their_words_are_found():
+    rng = random.Random(4)
+    same = " ".join(sentence(rng, 60))
+    index = leakage.Index([(n, same) for n in range(50)] + [(n, " ".join(sentence(rng, 60))) for n in range(50, 60)])
+    assert sorted(leakage.leaks_of("before " + same + " after", index)) == list(range(50))
+
+
+def test_question_and_answer_are_told_apart():
+    rng = random.Random(6)
+    question, answer = sentence(rng, 40), sentence(rng, 40)
+    index = leakage.Index([(1, "Question: " + " ".join(question) + "? Answer: " + " ".join(answer)), (2, " ".join(sentence(rng, 80)))])
+    (item, whole, asked, told), = leakage.overlaps(" ".join([*sentence(rng, 50), *answer, *sentence(rng, 50)]), index)
+    assert item == 1 and 0.4 <= whole <= 0.6 and asked < 0.3 and told > 0.9
 
 
 def test_text_types(spark):
