@@ -29,6 +29,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
+#: Members of a block that are compared in one go; larger blocks are cut into tiles.
+TILE = 500
+
+
+def block_pairs(members: DataFrame, tile: int = TILE) -> DataFrame:
+    """Each pair (a, b), a < b, of different ids that share a block of `members` (id, block).
+
+    A block of more than `tile` members is cut into tiles by a hash of the id, and each pair of tiles is a join key
+    of its own, so that no task gets more than `tile` times `tile` pairs of a block however large it is.
+    """
+    members = members.select("id", "block").distinct()
+    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("tiles"), F.count(F.lit(1)).alias("size")).filter("size > 1").select("block", "tiles")
+    own = members.join(sizes, "block").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    low = own.select("block", F.col("tile").alias("low"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("high"), F.col("id").alias("x"))
+    high = own.select("block", F.explode(F.sequence(F.lit(0), F.col("tile"))).alias("low"), F.col("tile").alias("high"), F.col("id").alias("y"))
+    pairs = low.join(high, ["block", "low", "high"]).filter((F.col("low") < F.col("high")) | (F.col("x") < F.col("y")))
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def pairs_within(members: DataFrame, group: str, text: str, left: str, right: str) -> DataFrame:
     """Each pair of different texts of a group, the smaller one (by UTF-8 bytes) first."""
     one = members.select(group, F.col(text).alias(left)).distinct()
