@@ -10,7 +10,9 @@ def queries() -> dict:
         "p1_found": pii.p1_found,
         "p1_redacted": pii.p1_redacted,
         "p4_found": names.p4_found,
+        "p4_entities": names.p4_entities,
         "p5_found": addresses.p5_found,
+        "p5_places": addresses.p5_places,
         "p6_found": canonical.p6_found,
         "p7_ids": tokens.p7_ids,
         "p8_found": leakage.p8_found,
