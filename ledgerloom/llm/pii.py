@@ -37,16 +37,18 @@ TAGS = ["O", *[f"{p}-{t}" for t in TYPES for p in "BI"]]
 #: Characters of a window, and how far windows lie apart.
 WINDOW, STEP = 96, 64
 BATCH = 768
+#: Pieces longer than this are read one at a time, so that memory grows with one piece's length only.
+VAST = 2048
 CACHE = 1 << 17
 MODEL = Path(__file__).with_name("pii_model.npz")
 
 ASCII, THAI = 95, 128
 VOCABULARY = ASCII + THAI + 2  # others, and the filling behind a text's end
 OTHER, FILL = VOCABULARY - 2, VOCABULARY - 1
-#: Pieces of a line: it is parted behind full stops that end a sentence.
+#: Pieces of a line: it is parted behind full stops that end a sentence, not behind short forms or before legal forms.
 PIECES = re.compile(
     r"(?<!\b[Nn]o\.)(?<!\breg\.)(?<!\bTel\.)(?<!\bext\.)(?<!\bEngr\.)(?<!\bref\.)(?:(?<=[A-Za-z0-9)฀-๿]{2}\.)|(?<= \d\.)) (?=[A-Zก-๙])"
-    r"(?!(?:International|Intl|Chem\w*|Packag\w*|Pkg|Logist\w*|Lgstcs|Trad\w*|Trdg|Eng\w*|Elec\w*|Serv\w*|Svcs|Foods|Fds|Hardw\w*|Hdwe|Supp\w*|Text\w*|Txtls|Ind\w*|Manuf\w*|Mfg|Ltd|Limited|Pte|Private|Sdn|Bhd|Inc|Corp|Corporation|GmbH|Gmbh|G\.m|Co|Company|and)\b)"
+    r"(?!(?:[\w'&]+\.? ){0,2}(?:Ltd|Limited|Pte|Private|Sdn|Bhd|Inc|Corp|Corporation|GmbH|Gmbh|GMBH|G\.m|Co|Company|LTD|INC|and)\b)"
 )
 CODE_OF = np.full(0x2100, OTHER, np.int16)
 CODE_OF[32:127] = np.arange(ASCII)
@@ -142,7 +144,27 @@ class Tagger:
                 share = np.minimum(left, right)[:, None]
                 totals[i][start : start + length] += scores[:length, row] * share
                 shares[i][start : start + length] += share
-        return [t / np.maximum(w, 1e-6) for t, w in zip(totals, shares, strict=True)]
+        for t, w in zip(totals, shares, strict=True):
+            t /= np.maximum(w, 1e-6, out=w)
+        return totals
+
+    def best_path(self, scores: np.ndarray) -> np.ndarray:
+        """The best tags of one text of any length; only a byte per place and tag is kept besides its scores (places, tags)."""
+        steps, tags = scores.shape
+        best = scores[0] + self.start
+        back = np.zeros((steps, tags), np.int8)
+        every = np.arange(tags)
+        for t in range(1, steps):
+            ways = best[:, None] + self.moves
+            came = ways.argmax(0)
+            back[t] = came
+            best = ways[came, every] + scores[t]
+        out = np.zeros(steps, np.int8)
+        tag = int(best.argmax())
+        for t in range(steps - 1, -1, -1):
+            out[t] = tag
+            tag = back[t, tag]
+        return out
 
     def best_paths(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The best tags (windows, places) for scores (places, windows, tags); windows stand in order of falling length."""
@@ -172,11 +194,14 @@ class Tagger:
         return out
 
     def read(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        """The spans of each text: short ones in batches of like length, long ones window by window, each decoded as a whole."""
+        """The spans of each text: short ones in batches of like length, long ones window by window and the longest one by one, each decoded as a whole."""
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         order = sorted((i for i, t in enumerate(texts) if t), key=lambda i: -len(texts[i]))
+        vast = sum(len(texts[i]) > VAST for i in order)
+        for i in order[:vast]:
+            out[i] = spans(self.best_path(self.mixed([codes(texts[i])])[0]))
         long = sum(len(texts[i]) > WINDOW for i in order)
-        for k in range(0, long, BATCH // 4):
+        for k in range(vast, long, BATCH // 4):
             part = order[k : min(long, k + BATCH // 4)]
             mixed = self.mixed([codes(texts[i]) for i in part])
             lengths = np.array([len(m) for m in mixed])
@@ -218,20 +243,16 @@ ID_WORD = re.compile(r"(?:SSN|social security|national id|citizen id|id card|ide
 DOCUMENT_WORD = re.compile(r"(?:\b(?:no|ref|reg|serial|quote|account|batch|lot|seal|model|rev|statement|slot|page|tracking|document|order|invoice)\b\.?(?: ?(?:no\b\.?|#|:))*|#)[ ]*(?:[A-Z]{1,4}-?)?$", re.I)
 PHONE_WORD = re.compile(r"(?:\b(?:tele)?phone|\btel|\bmobile|\bcell|\bfax|\bhotline|\bwhatsapp|โทร(?:ศัพท์)?)\b\.?[ :#]*(?:no\b\.?|number\b)[ :#]*$", re.I)
 HEADING = re.compile(r"^(?:[A-Z][\w ()]{1,18}: ?)?[^:;<|@]*$")
-COMPANY = re.compile(
-    r"\b(?:ltd|limited|inc|incorporated|corp|corporation|gmbh|g\.m\.b\.h|sdn|bhd|pte|mfg|trdg|txtls|pkg|svcs|hdwe|fds|lgstcs|engrg|intl|international|chem(?:ic(?:als)?)?|packag(?:ing)?"
-    r"|logist(?:ics)?|trading|engineering|electronics|services|foods|hardw(?:are)?|supplies|textiles|industries|manuf(?:acturing)?)\b|\b(?:eng'g|int'l)|^(?:[A-Z][\w ()]{1,18}: ?)?M/s ",
-    re.I,
-)
+COMPANY = re.compile(r"\b(?:ltd|limited|inc|incorporated|corp|corporation|gmbh|g\.m\.b\.h|sdn|bhd|pte|plc|llc)\b|\bco\b\.?(?=\s*(?:,|$))|^(?:[A-Z][\w ()]{1,18}: ?)?M/s ", re.I)
 #: Words that don't stand within a company's name.
 BETWEEN = re.compile(r"\b(?:for|to|by|from|with|at|in|on|is|was|has|had|will|your|our|their|about|via|per|attn|contact|please|who|as)\b", re.I)
 SMALL = re.compile(r"(?<![\w'])(?!(?:and|the|of)\b)[a-z]")
-THAI_TITLE = re.compile("นาย|นาง|คุณ|ดร\\.")
+THAI_TITLE = re.compile("(?<![ก-๙])(?:นาย|นาง|คุณ|ดร\\.)")
 MONEY = re.compile(r"^\d+[.,]\d{2}$")
 
 
 def of_company(piece: str, begin: int, end: int) -> bool:
-    """Whether a span belongs to a company's name: a company word stands in it, or beside it with nothing but parts of a name between.
+    """Whether a span belongs to a company's name: a legal form stands in it, or beside it with nothing but parts of a name between.
 
     Behind a comma or bracket another name begins where the span has a title or a given name in full.
     """
@@ -264,6 +285,8 @@ def settled(piece: str, begin: int, end: int, kind: str) -> str | None:
         return kind if digits >= 1 and sum(c.isalpha() for c in part) >= 3 else None
     if sum(c.isalpha() for c in part) < 2 or HEADING.match(piece) and of_company(piece, begin, end):
         return None
+    if len(part) <= 3 and part.isupper() and part.isascii() and part.isalpha():
+        return None  # a code
     # A Thai name without a title is a company's.
     thai = bool(re.search("[ก-๙]", part)) and not re.search("[A-Za-z]", part)
     return None if thai and not THAI_TITLE.search(piece[max(0, begin - 8) : end]) else kind

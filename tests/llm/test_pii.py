@@ -21,6 +21,12 @@ def found():
         ("Quote 9814-148-8204 when you pay", set()),
         ("2. Matilda sponge mix -  - gm 946", set()),
         ("Momefo and Vukutan Logistics Inc.", set()),
+        ("Deliver to Charles Okonkwo, 45 Elm Street", {(1, "person_name"), (1, "street_address")}),
+        ("gabago bifagax foods", set()),
+        ("Meet Sarah Connor tomorrow", {(1, "person_name")}),
+        ("5 Rue de Rivoli, Paris", {(1, "street_address")}),
+        ("Invoice total 1,200.00 for Acme Trading Ltd", set()),
+        ("TAX INVOICE\nAccount Statement\nขอบคุณค่ะ\nCurrency: PHP", set()),
         ("Page 8 of 24. Delivery window 3:00 - 8:30. All prices exclude freight.", set()),
     ],
 )
@@ -36,6 +42,16 @@ def test_odd_texts(found):
     found("x" * 50_000)
 
 
+def test_vast_lines_are_read_one_by_one(found):
+    filler = "keep dry, handle paper sacks with care, " * 5_000
+    tagger = pii.finder(str(pii.MODEL)).tagger
+    text = filler + "Call 085 221 3301 before unloading, ask for Henriette Vosinurel, " + filler
+    assert {(1, "phone"), (1, "person_name")} <= found(text)
+    rng = np.random.default_rng(2)
+    scores = rng.normal(size=(60, 1, len(pii.TAGS))).astype(np.float32)
+    assert tagger.best_path(scores[:, 0]).tolist() == tagger.best_paths(scores, np.array([60]))[0].tolist()
+
+
 def test_placeholders_leave_the_rest():
     text = "a\nEmail: me@x.test and more\r\nb"
     spans = pii.finder(str(pii.MODEL)).find([text])[0]
