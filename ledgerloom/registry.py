@@ -12,6 +12,10 @@ def queries() -> dict:
         "p2_flagged": units.p2_flagged,
         "p3_found": nested.p3_found,
         "p3_items": nested.p3_items,
+        "p3_records": nested.p3_records,
+        "p3_line_items": nested.p3_line_items,
+        "p3_delivery_items": nested.p3_delivery_items,
+        "p3_sub_items": nested.p3_sub_items,
     }
 
 

@@ -78,6 +78,23 @@ def test_pivot_of_triples_equals_flatten(spark):
     assert {tuple(r) for r in pivot.collect()} == {tuple(r) for r in flat.collect()}
 
 
+def test_unknown_lists_make_a_table_each(spark):
+    texts = ['{"order": "a", "child_path": "x", "orders": [{"sku": "s1", "parts": [{"n": 1}, {"n": 2, "sizes": [3, 4]}]}, {"sku": "s2"}], "tags": ["u", "v"]}', '{"order": "b", "orders": []}', None, "bad"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")
+    made = nested.tables(frame, ["k"], "t")
+    assert sorted(made) == ["", "orders", "orders/parts"]
+    assert {(r.k, r.order, r.child_path_, r.tags, r.orders) for r in made[""].collect()} == {(0, "a", "x", '["u", "v"]', None), (1, "b", None, None, "[]")}
+    assert {(r.k, r.child_path, r.sku) for r in made["orders"].collect()} == {(0, "orders/1", "s1"), (0, "orders/2", "s2")}
+    assert {(r.parent_path, r.ordinal, r.n, r.sizes) for r in made["orders/parts"].collect()} == {("orders/1", 1, "1", None), ("orders/1", 2, "2", "[3, 4]")}
+    assert nested.tables(frame.limit(0), ["k"], "t") == {}
+
+
+def test_repeated_keys_and_lists_before_fields():
+    text = '{"items": [{"a": 1}], "items": [{"sub_items": {"q": 1}, "a": 2, "a": "3"}, "{\\"a\\": 4}"]}'
+    got = [(t[0], t[4], t[5]) for t in nested.triples(text)]
+    assert got == [("items/1", None, None), ("items/1/sub_items/1", None, None), ("items/1/sub_items/1", "q", "1"), ("items/1", "a", "3"), ("items/2", None, None), ("items/2", "a", "4")]
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "record_id bigint, output string")
     assert nested.flatten(frame, ["record_id"], "output").count() == 0
