@@ -25,11 +25,13 @@ from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.operators.identities import best_units
 from ledgerloom.operators.nested import Pairs, decode, entries, unwrap
 from ledgerloom.tables import records, spread, table
 
@@ -131,13 +133,17 @@ def money(value: str) -> tuple[Fraction | None, str | None, Fraction | None]:
 
 #: The largest log residual of an identity that counts as met.
 TOLERANCE = 1e-3
+#: The identity of a recorded and a printed amount.
+EQUAL = np.array([[1.0, -1.0]])
 
 
-def residual(value: Fraction, unit: Fraction, other: Fraction, other_unit: Fraction) -> float:
-    """How far apart the logarithms of two columns of one quantity are, rounded so that ties are found."""
+def residuals(value: Fraction, units: dict, other: Fraction, known: dict) -> dict:
+    """Per unit of `value` the least log residual of its identity with another column, whatever unit that one is in."""
     if value <= 0 or other <= 0:
-        return 0.0 if value * unit == other * other_unit else math.inf
-    return round(abs(math.log(value * unit / (other * other_unit))), 9)
+        return {n: 0.0 if any(value * unit == other * u for u in known.values()) else math.inf for n, unit in units.items()}
+    pair = np.array([[float(value), float(other)]])
+    sizes = np.array([float(u) for u in known.values()])
+    return {n: round(float(best_units(pair, [np.array([float(unit)]), sizes], EQUAL)[2][0]), 9) for n, unit in units.items()}
 
 
 def solve(value: Fraction, units: dict, others: list[tuple[Fraction, dict]]):
@@ -146,9 +152,8 @@ def solve(value: Fraction, units: dict, others: list[tuple[Fraction, dict]]):
     `units` and the second members of `others` map the units that each column may be in to their sizes.
     Returns the unit and whether no other unit does as well.
     """
-    scores = {}
-    for name, unit in units.items():
-        scores[name] = min((residual(value, unit, other, u) for other, known in others for u in known.values()), default=0.0)
+    told = [residuals(value, units, other, known) for other, known in others]
+    scores = {name: min((t[name] for t in told), default=0.0) for name in units}
     least = min(scores.values())
     best = {units[n]: n for n, s in scores.items() if s == least}
     return next(iter(best.values())), len(best) == 1 and least <= TOLERANCE
