@@ -58,3 +58,16 @@ def two_attempts(raw_1: Column, raw_2: Column, parse) -> Column:
     answer = F.coalesce(first, second)
     attempt = F.when(first.isNotNull(), 1).otherwise(2)
     return F.struct(answer.alias("answer"), attempt.alias("attempt"), F.when(answer.isNull(), "unparsable").alias("error"))
+
+
+def attempted_call(raw_1: Column, failed_1: Column, tokens_1: Column, raw_2: Column, failed_2: Column, tokens_2: Column, parse) -> Column:
+    """A struct of the answer, the attempt used, the error and the tokens of the last attempt made.
+
+    `failed_1` and `failed_2` are the messages of failed transports, null where the call came through. A first call
+    that failed is as good as one that doesn't parse; a second one that failed is the error. The repair call carries
+    text only, also where the first one carried an image, so pages of images need no other operator.
+    """
+    first, second = F.when(failed_1.isNull(), parse(raw_1)), F.when(failed_2.isNull(), parse(raw_2))
+    done = first.isNotNull()
+    error = F.when(done | second.isNotNull(), None).otherwise(F.coalesce(failed_2, F.lit("unparsable")))
+    return F.struct(F.coalesce(first, second).alias("answer"), F.when(done, 1).otherwise(2).alias("attempt"), error.alias("error"), F.when(done, tokens_1).otherwise(F.coalesce(tokens_2, tokens_1)).alias("tokens"))

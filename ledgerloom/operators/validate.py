@@ -21,42 +21,50 @@ def missing_strict(name: Column) -> Column:
     return F.concat(F.lit("Missing required field '"), name, F.lit("' from catalog"))
 
 
-def format_issues(fields: DataFrame) -> DataFrame:
-    """doc_id, field and message of dates without a known format and of negative amounts."""
-    low = F.lower("field")
-    text = scalar_text(F.col("value_json"))
-    bad_date = low.rlike(DATE_HINTS) & is_text(F.col("value_json")) & parse_date(text, VALIDATE_FORMATS).isNull()
-    negative = low.rlike(AMOUNT_HINTS) & ~is_text(F.col("value_json")) & (F.coalesce(text.try_cast("double"), F.lit(0.0)) < 0)
-    found = F.array_compact(F.array(F.when(bad_date, F.lit(BAD_DATE)), F.when(negative, F.lit(NEGATIVE))))
-    return fields.select("doc_id", "field", F.explode(found).alias("message"), F.lit("warning").alias("severity"))
+def format_messages(field: Column, value_json: Column) -> Column:
+    """The messages of one field: a date without a known format, a negative amount."""
+    low, text = F.lower(field), scalar_text(value_json)
+    bad_date = low.rlike(DATE_HINTS) & is_text(value_json) & parse_date(text, VALIDATE_FORMATS).isNull()
+    negative = low.rlike(AMOUNT_HINTS) & ~is_text(value_json) & (F.coalesce(text.try_cast("double"), F.lit(0.0)) < 0)
+    return F.array_compact(F.array(F.when(bad_date, F.lit(BAD_DATE)), F.when(negative, F.lit(NEGATIVE))))
+
+
+def validated(documents: DataFrame, fields: DataFrame, suggested: DataFrame, strict: bool = True) -> DataFrame:
+    """A4 to A6, J8, P7 of each document in one grouping: doc_id, listed, n_fields, issues, is_valid, completeness.
+
+    `documents` doc_id; `fields` doc_id, bucket, field, value_json; `suggested` doc_id, field, required. A document
+    has few fields, so they travel as arrays and one exchange does for all rules; `listed` tells whether it is among `documents`.
+    """
+    rows = (
+        documents.select("doc_id", F.lit(True).alias("listed"), F.lit(None).cast("struct<bucket:string,field:string,messages:array<string>>").alias("f"), F.lit(None).cast("struct<field:string,required:boolean>").alias("s"))
+        .unionByName(fields.select("doc_id", F.struct("bucket", "field", format_messages(F.col("field"), F.col("value_json")).alias("messages")).alias("f")), allowMissingColumns=True)
+        .unionByName(suggested.select("doc_id", F.struct("field", F.coalesce("required", F.lit(False)).alias("required")).alias("s")), allowMissingColumns=True)
+    )
+    by = rows.groupBy("doc_id").agg(F.coalesce(F.max("listed"), F.lit(False)).alias("listed"), F.collect_list("f").alias("fs"), F.collect_list("s").alias("ss"))
+    by = by.withColumn("there", F.transform(F.filter("fs", lambda f: f["bucket"] == "extracted"), lambda f: f["field"]))
+
+    def issue(field: Column, message: Column, severity: str) -> Column:
+        return F.struct(field.alias("field"), message.alias("message"), F.lit(severity).alias("severity"))
+
+    nothing = F.when(F.col("listed") & (F.size("fs") == 0), F.array(issue(F.lit("*"), F.lit(NOTHING), "error"))).otherwise(F.array())
+    missing = F.filter("ss", lambda s: s["required"] & ~F.array_contains("there", s["field"]))
+    missing = F.transform(missing, lambda s: issue(s["field"], missing_strict(s["field"]) if strict else F.lit(MISSING_OPEN), "warning"))
+    wrong = F.flatten(F.transform("fs", lambda f: F.transform(f["messages"], lambda m: issue(f["field"], m, "warning"))))
+    found = F.size(F.filter("ss", lambda s: F.array_contains("there", s["field"])))
+    share = F.when(F.size("ss") == 0, F.when(F.size("there") > 0, 1.0).otherwise(0.0)).otherwise(F.bround(found / F.size("ss"), 4))
+    return by.select("doc_id", "listed", F.size("fs").cast("bigint").alias("n_fields"), F.concat(nothing, missing, wrong).alias("issues"), share.alias("completeness")).withColumn("is_valid", ~F.exists("issues", lambda i: i["severity"] == "error"))
 
 
 def validate_issues(documents: DataFrame, fields: DataFrame, required: DataFrame, strict: bool = True) -> DataFrame:
     """All issues. `documents` doc_id; `fields` doc_id, bucket, field, value_json; `required` doc_id, field."""
-    nothing = documents.select("doc_id").join(fields.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("*").alias("field"), F.lit(NOTHING).alias("message"), F.lit("error").alias("severity"))
-    there = fields.filter("bucket = 'extracted'").select("doc_id", "field").distinct()
-    message = missing_strict(F.col("field")) if strict else F.lit(MISSING_OPEN)
-    missing = required.select("doc_id", "field").join(there, ["doc_id", "field"], "left_anti").select("doc_id", "field", message.alias("message"), F.lit("warning").alias("severity"))
-    return nothing.unionByName(missing).unionByName(format_issues(fields))
-
+    rows = validated(documents, fields, required.select("doc_id", "field", F.lit(True).alias("required")), strict)
+    return rows.select("doc_id", F.inline("issues"))
 
-def validate_summary(documents: DataFrame, fields: DataFrame, suggested: DataFrame, issues: DataFrame) -> DataFrame:
-    """A4, A5: per document whether it is valid, the completeness rounded half to even, and the number of issues.
 
-    All four inputs are put under each other and grouped once.
-    """
-    there = fields.filter("bucket = 'extracted'").select("doc_id", "field").distinct()
-    wanted = suggested.select("doc_id", "field").join(there.withColumn("hit", F.lit(1)), ["doc_id", "field"], "left")
-    zero = F.lit(0)
-    parts = (
-        documents.select("doc_id", zero.alias("s"), zero.alias("f"), zero.alias("x"), zero.alias("e"), zero.alias("i"))
-        .unionByName(wanted.select("doc_id", F.lit(1).alias("s"), F.coalesce("hit", zero).alias("f"), zero.alias("x"), zero.alias("e"), zero.alias("i")))
-        .unionByName(there.select("doc_id", zero.alias("s"), zero.alias("f"), F.lit(1).alias("x"), zero.alias("e"), zero.alias("i")))
-        .unionByName(issues.select("doc_id", zero.alias("s"), zero.alias("f"), zero.alias("x"), (F.col("severity") == "error").cast("int").alias("e"), F.lit(1).alias("i")))
-    )
-    sums = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in "sfxei"])
-    share = F.when(F.col("s") == 0, F.when(F.col("x") > 0, 1.0).otherwise(0.0)).otherwise(F.bround(F.col("f") / F.col("s"), 4))
-    return sums.select("doc_id", (F.col("e") == 0).alias("is_valid"), share.alias("completeness"), F.col("i").alias("n_issues"))
+def validate_summary(documents: DataFrame, fields: DataFrame, suggested: DataFrame, strict: bool = True) -> DataFrame:
+    """A4, A5: per document whether it is valid, the completeness rounded half to even, and the number of issues. `suggested` has doc_id, field, required."""
+    rows = validated(documents, fields, suggested, strict).filter("listed")
+    return rows.select("doc_id", "is_valid", "completeness", F.size("issues").cast("bigint").alias("n_issues"))
 
 
 def needs_review(is_valid: Column, score: Column, strict: bool, out_of_catalog: Column, failed: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from ledgerloom.functions.normalize import DIGITS, PLAIN_DIGITS
 from ledgerloom.operators import validate
+from ledgerloom.operators.pipeline import EMPTY_IMAGE, NO_PAGES, PARSE_FAILED
 from ledgerloom.sources.catalog import TYPE_SYNONYMS, synonym_rows
 from ledgerloom.sources.ingest import MEDIA, MEDIA_TYPES
 
-W = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+W = r"[\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def strip(x: str) -> str:
@@ -165,7 +166,7 @@ BY_SUFFIX = "case suffix " + " ".join(f"when {quoted(a)} then {quoted(b)}" for a
 
 
 def sql() -> dict[str, str]:
-    types = "select doc_type, file_stem as file, cast(length(output) as bigint) as size from (select distinct on (file_stem) '{1}/' || coalesce(source_system, '-') as doc_type, file_stem, output from {0})"
+    types = "select doc_type, file_stem as file, cast(length(cast(json(output) as varchar)) + 11 as bigint) as size from (select distinct on (file_stem) '{1}/' || coalesce(source_system, '-') as doc_type, file_stem, output from {0}) where json_valid(output) and json_type(output) = 'OBJECT' and len(json_keys(output)) > 0"
     examples = " union all ".join(types.format(a, b) for a, b in (("invoices", "invoice"), ("purchase_orders", "po"), ("delivery_notes", "delivery_note")))
     out_of_catalog = f"{canonical('doc_type')} is null"
     return {
@@ -199,6 +200,28 @@ def sql() -> dict[str, str]:
         "needs_review": f"with {PAGES} select result_id, failed_stage is not null or error is not null or not coalesce(validation.is_valid, false) or coalesce(judge.score, 0) < 0.7 or {out_of_catalog} as review from pages",
         "error_issues": f"with {PAGES} select result_id, coalesce(len(list_filter(validation.issues, lambda i: i.severity = 'error')) > 0, false) as has_error, judge.score as score, cast(coalesce(len(judge.issues), 0) as bigint) as n_judge_issues from pages",
         "few_shot_budget": f"select doc_type, file, size, turn, cast(used as bigint) as used from (select *, row_number() over w as turn, sum(size) over (w rows unbounded preceding) as used from ({examples}) window w as (partition by doc_type order by file)) where turn <= 5 and (turn = 1 or used <= 1500)",
+        "few_shot_by_page": f"""with {PAGES}, ranked as (select *, row_number() over w as turn, sum(size) over (w rows unbounded preceding) as used from ({examples}) window w as (partition by doc_type order by file)),
+            again as (select split_part(doc_type, '/', 1) as kind, file, size from ranked where turn <= 5 and (turn = 1 or used <= 1500)),
+            kept as (select *, row_number() over w as turn, sum(size) over (w rows unbounded preceding) as used from again window w as (partition by kind order by file)),
+            sums as (select kind, count(*) as n, sum(size) as size from kept where turn <= 5 and (turn = 1 or used <= 1500) group by kind)
+            select result_id, cast(coalesce(n, 0) as bigint) as n_examples, cast(coalesce(size, 0) as bigint) as n_chars from pages left join sums on kind = lower({strip('doc_type')})""",
+        "two_attempts_tokens": f"""with {ANSWERS}, shown as (select *, case result_id % 5 when 0 then length(body) when 1 then length(body) + 12 when 2 then length(body) + 18 when 3 then 14 else 5 end as t1, case when lost then null else length(body) end as t2, good and result_id % 7 <> 0 as first_good, not lost and result_id % 3 <> 0 as second_good from answers)
+            select result_id, case when first_good or second_good then 'n' || result_id end as notes, cast(case when first_good then 1 else 2 end as bigint) as attempt, case when first_good or second_good then null when result_id % 3 = 0 then 'refused' else 'unparsable' end as error, cast(case when first_good then t1 else coalesce(t2, t1) end as bigint) as tokens from shown""",
+        "pipeline_run": f"""with {ALIASES}, {SCALARS}, {SUGGESTED}, {SPLIT}, {ISSUES}, rows_ as (select distinct on (result_id) * from extraction_results),
+            counted as (select doc_id, count(*) as n from split group by doc_id), bad as (select distinct doc_id from issues where severity = 'error'),
+            joined as (select r.result_id, coalesce({canonical('q.doc_type')}, q.doc_type) as doc_type, {canonical('q.doc_type')} is null and q.result_id is not null as outside, coalesce(n, 0) as n_fields, bad.doc_id is null as is_valid, r.judge.score as score, r.failed_stage as fs, r.error as e,
+                coalesce(lower(regexp_extract(regexp_extract(r.filename, '[^/]*$'), '.(\\.[^.]*)$', 1)) in ({', '.join(map(quoted, MEDIA))}), false) as image, coalesce({strip('r.full_text')}, '') <> '' as has_text
+                from rows_ r left join responses q on q.result_id = r.result_id left join counted on counted.doc_id = r.result_id left join bad on bad.doc_id = r.result_id),
+            staged as (select *, case when not has_text and not image then 0 when fs is null and e is not null then 0 when fs = 'router' then 0 when fs = 'extractor' then 1 when image and n_fields = 0 then 1 when fs = 'validator' then 2 when fs = 'judge' then 3 else 4 end as stage_no from joined)
+            select result_id, case when stage_no > 0 then doc_type end as doc_type, cast(case when stage_no > 1 then n_fields end as bigint) as n_fields, case when stage_no > 2 then is_valid end as is_valid, case when stage_no > 3 then score end as score,
+                case when stage_no = 4 then null when not has_text and not image then 'router' when fs is null and e is not null then null when stage_no = 1 then 'extractor' else fs end as failed_stage,
+                case when stage_no = 4 then null when not has_text and not image then 'Neither text nor image' when fs is null and e is not null then 'Extraction pipeline failed: ' || e when stage_no = 1 and coalesce(fs, '') <> 'extractor' then {quoted(EMPTY_IMAGE)} when fs = 'validator' then 'Validation failed: ' || coalesce(e, '?') else coalesce(e, '?') end as error,
+                stage_no < 4 or not is_valid or coalesce(score, 0) < 0.7 or coalesce(outside, false) as needs_review from staged""",
+        "group_routing": f"""with {PAGES}, parts as (select job_id, result_id, coalesce(lower(regexp_extract(regexp_extract(filename, '[^/]*$'), '.(\\.[^.]*)$', 1)) in ({', '.join(map(quoted, MEDIA))}), false) as image, coalesce({strip('full_text')}, '') <> '' as page, case when contains(error, 'timeout') then error end as failed from pages where job_id is not null),
+            by_job as (select job_id, bool_and(image) as vision, arg_min(failed, result_id) filter (failed is not null) as failed, count(*) filter (page) as n, count(*) as parts from parts group by job_id)
+            select job_id as group_id, case when vision then 'vision' else 'parse' end as route, case when vision then null when failed is not null then {quoted(PARSE_FAILED)} || failed when n = 0 then {quoted(NO_PAGES)} end as error, cast(case when vision then parts when failed is not null then 0 else n end as bigint) as n_documents from by_job""",
+        "job_status": f"with {PAGES} select job_id, regexp_matches(job_id, '^(?i:(urn:uuid:)?\\{{?[0-9a-f]{{8}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{4}}-?[0-9a-f]{{12}}\\}}?)$') as valid_id, count(*) as n_pages, count(error) as n_failed, case when count(error) = count(*) then 'failed' else 'done' end as status from pages where job_id is not null group by job_id",
+        "catalog_doc_types": "select row_number() over (order by first) - 1 as place, doc_type, lpad(cast(first as varchar), 12, '0') as file from (select doc_type, min(term_id) as first from catalog_terms where kind = 'field' group by doc_type)",
         "parse_responses": f"with {ANSWERS} select result_id, case when good then cast(format('{{:.3f}}', s) as double) end as score, case when good then 'n' || result_id end as notes from answers",
         "two_attempts": f"with {ANSWERS} select result_id, case when good or not lost then 'n' || result_id end as notes, cast(case when good then 1 else 2 end as bigint) as attempt, case when not good and lost then 'unparsable' end as error from answers",
         "pipeline_status": f"with {PAGES} select result_id, cast(coalesce(case failed_stage when 'router' then 0 when 'extractor' then 1 when 'validator' then 2 when 'judge' then 3 end, case when doc_type is null then 0 when full_text is null then 1 when validation is null then 2 when judge is null then 3 else 4 end) as bigint) as stage from pages",
@@ -206,9 +229,8 @@ def sql() -> dict[str, str]:
         "group_meta": f"with {UPLOADS} select job_id as group_id, count(*) as n_parts, case when count(*) = 1 then min(filename) else count(*) || ' files (' || arg_min(filename, result_id) || ', ...)' end as group_name, cast(sum(bytes) as bigint) as total_bytes, bool_and({IMAGE}) as all_images from uploads where job_id is not null group by job_id",
         "group_response": f"with {UPLOADS} select job_id, string_agg(cast(result_id as varchar), ',' order by page_no, result_id) as pages from uploads where job_id is not null group by job_id",
         "router_prompt": f"""with made as (select doc_id, text, {strip('text')} as body from documents)
-            select doc_id, coalesce(body, '') <> '' as has_input, cast(case when text is null or regexp_matches(text, '^[\\x20-\\x7e\\n]*$') then
-                length('Name the type of this document, exactly one of: invoice, po, delivery_note.' || chr(10) || chr(10) || 'Name its language: en, th, or other.' || chr(10) || chr(10) || 'Propose the fields that can be read in it, each with a short name and a description.' || chr(10) || chr(10) || 'Filename: doc_' || doc_id)
-                + case when coalesce(body, '') = '' then 0 else length(body) + length('Document text:') + 3 end end as bigint) as n_chars from made""",
+            select doc_id, coalesce(body, '') <> '' as has_input, cast(length('Name the type of this document, exactly one of: invoice, po, delivery_note.' || chr(10) || chr(10) || 'Name its language: en, th, or other.' || chr(10) || chr(10) || 'Propose the fields that can be read in it, each with a short name and a description.' || chr(10) || chr(10) || 'Filename: doc_' || doc_id)
+                + case when coalesce(body, '') = '' then 0 else length(body) + length('Document text:') + 3 end as bigint) as n_chars from made""",
         "catalog_templates": "select doc_type, string_agg(name || ':' || value_type || ':' || coalesce(required, false), ';' order by term_id) as fields, count(*) as n_fields from catalog_terms where kind = 'field' group by doc_type",
         "display_values": f"with {PAGES} select result_id, cast(floor(judge.score * 100 + 0.5) as bigint) as percent, coalesce(judge.notes, '—') as notes, cast(case when length(full_text) > 60 then 60 + length('… [truncated, ' || length(full_text) || ' chars total]') else length(full_text) end as bigint) as n_shown from pages",
     }

@@ -136,20 +136,18 @@ def prediction_projection(spark: SparkSession, folder: str) -> DataFrame:
     return reconcile.prediction(split(spark, folder)).select("doc_id", "field", "bucket", "value_json")
 
 
-def issues(spark: SparkSession, folder: str) -> DataFrame:
+def checked(spark: SparkSession, folder: str) -> DataFrame:
     documents = results(spark, folder).select(F.col("result_id").alias("doc_id"))
-    required = suggested(spark, folder).filter("likely_required").select("doc_id", F.col("name").alias("field"))
-    return validate.validate_issues(documents, split(spark, folder), required)
+    wanted = suggested(spark, folder).select("doc_id", F.col("name").alias("field"), F.col("likely_required").alias("required"))
+    return validate.validated(documents, split(spark, folder), wanted)
 
 
 def validate_issues(spark: SparkSession, folder: str) -> DataFrame:
-    return issues(spark, folder)
+    return checked(spark, folder).select("doc_id", F.inline("issues"))
 
 
 def validate_summary(spark: SparkSession, folder: str) -> DataFrame:
-    documents = results(spark, folder).select(F.col("result_id").alias("doc_id"))
-    wanted = suggested(spark, folder).select("doc_id", F.col("name").alias("field"))
-    return validate.validate_summary(documents, split(spark, folder), wanted, issues(spark, folder)).join(documents, "doc_id", "left_semi")
+    return checked(spark, folder).filter("listed").select("doc_id", "is_valid", "completeness", F.size("issues").cast("bigint").alias("n_issues"))
 
 
 def needs_review(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,31 +196,59 @@ def pipeline_status(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("result_id", pipeline.stage_number(F.col("failed_stage"), F.col("doc_type").isNotNull(), F.col("full_text").isNotNull(), F.col("validation").isNotNull(), F.col("judge").isNotNull()).cast("bigint").alias("stage"))
 
 
-def pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
-    """C1 to C4 over pages with failures put in by result_id."""
+def two_attempts_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """C5, A9 with failed transports: the first call of every seventh page fails, the second of every third."""
     key = F.col("result_id")
-    rows = results(spark, folder, "filename", "doc_type", "full_text", "validation", "judge")
-    image = ingest.is_image(F.col("filename"), F.lit(None).cast("string"))
-    pages = rows.select(
-        "result_id",
-        "doc_type",
-        image.alias("is_image"),
-        (F.coalesce(normalize.strip(F.col("full_text")), F.lit("")) != "").alias("has_text"),
-        (key % 6).cast("bigint").alias("n_fields"),
-        F.col("validation.is_valid").alias("is_valid"),
-        F.col("judge.score").alias("score"),
-        F.when(key % 13 == 0, "call").when(key % 17 == 0, "other").alias("router_kind"),
-        F.lit("no route").alias("router_message"),
-        F.when(key % 11 == 0, "call").alias("extractor_kind"),
-        F.lit("no fields").alias("extractor_message"),
-        F.when(key % 19 == 0, "other").alias("validator_kind"),
-        F.lit("bad rule").alias("validator_message"),
-        F.when(key % 7 == 0, "call").alias("judge_kind"),
-        F.lit("no score").alias("judge_message"),
+    rows = raw_answers(spark, folder)
+    made = responses.attempted_call(F.col("raw_1"), F.when(key % 7 == 0, "timeout"), F.length("raw_1").cast("bigint"), F.col("raw_2"), F.when(key % 3 == 0, "refused"), F.length("raw_2").cast("bigint"), responses.judge_response)
+    return rows.select("result_id", made.alias("r")).select("result_id", F.col("r.answer.notes").alias("notes"), F.col("r.attempt").cast("bigint").alias("attempt"), F.col("r.error").alias("error"), F.col("r.tokens").alias("tokens"))
+
+
+def pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages through router, extractor, validator and judge; each stage's result is that of its operator, its failure what the page's row records."""
+    rows = results(spark, folder, "filename", "full_text", "judge", "failed_stage", "error")
+    routed = latest_responses(spark, folder).select("result_id", F.col("type").alias("doc_type"), catalog.canonical_type(F.col("doc_type"))["out_of_catalog"].alias("out_of_catalog"))
+    checks = checked(spark, folder).select(F.col("doc_id").alias("result_id"), "n_fields", "is_valid")
+    stage, error = F.col("failed_stage"), F.col("error")
+    kinds = {f"{s}_kind": F.when(stage == s, "call") for s in pipeline.STAGES}
+    kinds["router_kind"] = F.when(stage.isNull() & error.isNotNull(), "other").otherwise(kinds["router_kind"])
+    pages = (
+        rows.join(routed, "result_id", "left")
+        .join(checks, "result_id", "left")
+        .withColumns({"is_image": ingest.is_image(F.col("filename"), F.lit(None).cast("string")), "has_text": F.coalesce(normalize.strip(F.col("full_text")), F.lit("")) != "", "score": F.col("judge.score")})
+        .withColumns({f"{s}_message": F.coalesce(error, F.lit("?")) for s in pipeline.STAGES} | kinds)
+        .drop("error", "failed_stage")
     )
     return pipeline.run_stages(pages).select("result_id", "doc_type", "n_fields", "is_valid", "score", "failed_stage", "error", "needs_review")
 
 
+def group_routing(spark: SparkSession, folder: str) -> DataFrame:
+    """C7 over jobs as groups: a part has a page where its text isn't blank; the parser failed where the page's row says so."""
+    rows = results(spark, folder, "job_id", "filename", "full_text", "error").filter("job_id is not null")
+    image = ingest.is_image(F.coalesce("filename", F.lit("")), F.lit(None).cast("string"))
+    pages = F.when(F.coalesce(normalize.strip(F.col("full_text")), F.lit("")) != "", 1).otherwise(0)
+    return pipeline.route_groups(rows.select(F.col("job_id").alias("group_id"), F.col("result_id").alias("part_no"), image.alias("is_image"), pages.alias("n_pages"), F.when(F.col("error").contains("timeout"), F.col("error")).alias("parse_error")))
+
+
+def job_status(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline.job_status(results(spark, folder, "job_id", "error"))
+
+
+def catalog_doc_types(spark: SparkSession, folder: str) -> DataFrame:
+    """P5 on the catalog table, its smallest term_id standing for a file's name."""
+    fields = table(spark, folder, "catalog_terms", "kind", "doc_type", "term_id").filter("kind = 'field'")
+    return catalog.doc_types_in_order(fields.groupBy("doc_type").agg(F.lpad(F.min("term_id").cast("string"), 12, "0").alias("file")))
+
+
+def few_shot_by_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page with the number and size of the examples of its type; pages of a type without examples have none."""
+    kept = few_shot_budget(spark, folder).select(F.element_at(F.split("doc_type", "/"), 1).alias("kind"), "file", "size")
+    kept = prompts.few_shot_budget(kept.withColumnRenamed("kind", "doc_type"))
+    examples = kept.groupBy(F.col("doc_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    pages = results(spark, folder, "doc_type").withColumn("kind", F.lower(normalize.strip(F.col("doc_type"))))
+    return pages.join(examples, "kind", "left").select("result_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_examples"), F.coalesce("size", F.lit(0).cast("bigint")).alias("n_chars"))
+
+
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     rows = results(spark, folder, "job_id", "filename", "page_no", "full_text").filter("filename is not null")
     return rows.select("job_id", "result_id", "filename", "page_no", F.when(F.col("result_id") % 4 == 0, "Image/PNG").when(F.col("result_id") % 4 == 1, "application/pdf").alias("content_type"), F.coalesce(F.length("full_text"), F.lit(0)).cast("bigint").alias("bytes"))
@@ -267,6 +293,6 @@ QUERIES = (
     evaluate_f1_by_doc, evaluate_mismatches, corpus_rollup, auto_evaluate, rename_predictions, values_match_scalar, values_match_container,
     normalize_names, alias_resolve, doc_type_canonical, parse_numbers, parse_dates_compare, parse_dates_validate, string_equal,
     reconcile_catalog, split_extracted, prediction_projection, validate_issues, validate_summary, needs_review, error_issues,
-    few_shot_budget, parse_responses, two_attempts, pipeline_status, pipeline_run, image_detect, group_meta, group_response,
+    few_shot_budget, few_shot_by_page, parse_responses, two_attempts, two_attempts_tokens, pipeline_status, pipeline_run, group_routing, job_status, catalog_doc_types, image_detect, group_meta, group_response,
     router_prompt, catalog_templates, display_values,
 )

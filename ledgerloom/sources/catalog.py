@@ -108,3 +108,40 @@ def read_few_shot_files(spark: SparkSession, path: str) -> DataFrame:
 def ground_truth(rows: DataFrame, stems: DataFrame, stem_column: str = "file_stem") -> DataFrame:
     """IO9: `rows` (filename, ...) with the truth of the file of that stem, null where there is none."""
     return rows.withColumn(stem_column, file_stem(F.col("filename"))).join(stems, stem_column, "left")
+
+
+# The templates shown where a catalog has none: type, then name, type of value and requirement of its fields.
+FALLBACK = [
+    ("invoice", [("invoice_number", "string", True), ("invoice_date", "date", True), ("total_amount", "number", True)]),
+    ("po", [("po_number", "string", True), ("order_date", "date", True), ("total_amount", "number", True)]),
+]
+
+
+def visible_templates(fields: DataFrame, strict: bool) -> DataFrame:
+    """IO6, P10: the catalog's fields (doc_type, file, ord, name, type, required); without any, none in strict mode and two built-in templates in open mode."""
+    rows = [(kind, f"{kind}_fields.json", n, *f) for kind, own in FALLBACK for n, f in enumerate(own)]
+    built_in = fields.sparkSession.createDataFrame([] if strict else rows, "doc_type string, file string, ord int, name string, type string, required boolean")
+    own = fields.select(*built_in.columns)
+    return own.unionByName(built_in.join(own.limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_anti"))
+
+
+def fields_of_type(fields: DataFrame, doc_types: DataFrame) -> DataFrame:
+    """The fields of each of `doc_types` (doc_type), without regard to case and outer blanks; of several files of a type the first in name order counts."""
+    plain = F.lower(strip(F.col("doc_type")))
+    first = fields.withColumn("_type", plain).groupBy("_type").agg(F.min("file").alias("file"))
+    kept = fields.withColumn("_type", plain).join(first, ["_type", "file"], "left_semi").drop("doc_type")
+    return doc_types.select("doc_type").distinct().withColumn("_type", plain).join(kept, "_type").drop("_type")
+
+
+def doc_types_in_order(fields: DataFrame) -> DataFrame:
+    """P5: the document type of each file with its place in the order of file names; types of several files stay several."""
+    files = fields.groupBy("file").agg(F.first("doc_type").alias("doc_type"))
+    before = files.select(F.col("file").alias("_other"))
+    # A catalog's files are few; counting those before needs no window over all rows.
+    placed = files.join(before, F.col("_other") < F.col("file"), "left").groupBy("file", "doc_type").agg(F.count("_other").alias("place"))
+    return placed.select("place", "doc_type", "file")
+
+
+def file_counts(paths: DataFrame) -> DataFrame:
+    """The number of JSON files (path) per folder of a knowledge base."""
+    return paths.filter(F.lower("path").endswith(".json")).groupBy(F.element_at(F.split("path", "/"), -2).alias("folder")).agg(F.count(F.lit(1)).alias("n_files"))

@@ -31,8 +31,10 @@ def data_uri(media: Column, content: Column) -> Column:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """IO1: files of a folder as filename, content and length."""
+    """IO1: files of a folder as filename, content and length. Files without content are left out by the scan; a folder without others is refused."""
     rows = spark.read.format("binaryFile").load(path)
+    if rows.limit(1).count() == 0:
+        raise ValueError("no files were uploaded")
     name = F.element_at(F.split("path", "/"), -1)
     return rows.select(F.coalesce(F.nullif(name, F.lit("")), F.lit("uploaded-document")).alias("filename"), "content", "length", "path")
 
@@ -42,6 +44,12 @@ def split_pages(files: DataFrame, text: str = "text") -> DataFrame:
     return files.select("*", F.posexplode(F.split(F.col(text), "\f")).alias("page_index", "page_text")).withColumn("page_no", F.col("page_index") + 1).drop("page_index")
 
 
+def parsed_parts(files: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """IO2: each file with the number of its pages (key, page_text) and `parse_error` where it has none."""
+    counts = pages.filter(F.col("page_text").isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_pages"))
+    return files.join(counts, key, "left").withColumns({"n_pages": F.coalesce("n_pages", F.lit(0).cast("bigint")), "parse_error": F.when(F.col("n_pages").isNull(), F.lit("the parser gave no pages"))})
+
+
 def parse_pages(files: DataFrame, parser: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
     """IO2 with a parser of one's own: a function over Arrow batches, as for mapInArrow."""
     return files.mapInArrow(parser, schema)

@@ -26,14 +26,16 @@ def spread(frame: DataFrame) -> DataFrame:
 def checkpoint(frame: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint.
 
-    The folder is the cluster's `spark.checkpoint.dir`; only where that is unset,
-    as in tests, a folder of our own is set.
+    The folder is the cluster's `spark.checkpoint.dir`. Where that is unset a local
+    session, as in tests, gets a folder of its own; on a cluster it is an error.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")

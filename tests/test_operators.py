@@ -65,8 +65,8 @@ def test_validation(spark):
     issues = validate.validate_issues(documents, fields, required)
     found = {(r.doc_id, r.field, r.severity) for r in issues.collect()}
     assert found == {(2, "*", "error"), (1, "b", "warning"), (1, "total_amount", "warning"), (1, "due_date", "warning")}
-    many = spark.createDataFrame([(1, "total_amount")] + [(1, f"f{i}") for i in range(31)], "doc_id bigint, field string")
-    summary = {r.doc_id: (r.is_valid, r.completeness) for r in validate.validate_summary(documents, fields, many, issues).collect()}
+    many = spark.createDataFrame([(1, "total_amount", True)] + [(1, f"f{i}", None) for i in range(31)], "doc_id bigint, field string, required boolean")
+    summary = {r.doc_id: (r.is_valid, r.completeness) for r in validate.validate_summary(documents, fields, many).collect()}
     assert summary == {1: (True, 0.0312), 2: (False, 0.0), 3: (True, 1.0)}
 
 
