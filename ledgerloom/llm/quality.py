@@ -253,7 +253,9 @@ def vote_patterns(voting: DataFrame, key: str, labels: DataFrame | None) -> Data
     rows = readable.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).select("mask", "n", F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("known"))
     if labels is None:
         return rows
-    some = labels.limit(LABELLED_ROWS).filter(F.col("form").isin(*FORMS)).select(key, F.col("form").alias("label")).distinct()
+    # Of more labels than the bound those with the smallest hashes are taken, the same ones in every run.
+    known = labels.filter(F.col("form").isin(*FORMS)).select(key, F.col("form").alias("label")).distinct()
+    some = known.orderBy(F.xxhash64(key), key, "label").limit(LABELLED_ROWS)
     seen = readable.join(some, key).groupBy("mask", "label").agg((F.count(F.lit(1)) * LABEL_WEIGHT).alias("known"))
     return rows.unionByName(seen.select("mask", F.lit(0).cast("bigint").alias("n"), "label", "known"))
 
@@ -264,7 +266,7 @@ def text_types(frame: DataFrame, key: str, column: str, labels: DataFrame | None
     `labels` (key, form) may name the form of some documents. The counts, not the texts, are written once and read twice.
     """
     voting = votes(checkpoint(statistics(frame, key, column)))
-    model = learn(checkpoint(vote_patterns(voting, key, labels).coalesce(8)))
+    model = learn(checkpoint(vote_patterns(voting, key, labels)))
 
     @F.pandas_udf(T.StructType([T.StructField(f"p_{f}", T.DoubleType()) for f in FORMS]))
     def score(masks: pd.Series) -> pd.DataFrame:

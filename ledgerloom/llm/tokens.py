@@ -30,6 +30,8 @@ from ledgerloom.tables import spread, table
 #: Different pieces whose encoding a worker keeps; longer ones are encoded anew each time.
 CACHE = 1 << 18
 CACHED_BYTES = 64
+#: Pairs of tokens whose check a worker keeps.
+PAIRS = 1 << 20
 
 
 def vocabulary_file() -> str:
@@ -48,9 +50,8 @@ def vocabulary_pattern() -> str:
 class PrefixEncoder:
     """Byte-level BPE by prefix dynamic programming."""
 
-    def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    def __init__(self, vocabulary: bytes, pattern: str):
+        self.ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.pattern = regex.compile(pattern)
         self.longest = max(map(len, self.ids))
         self.by_id = {i: t for t, i in self.ids.items()}
@@ -64,6 +65,8 @@ class PrefixEncoder:
         """Whether the bytes of two tokens, encoded together, give just these two."""
         known = self.follows.get((left, right))
         if known is None:
+            if len(self.follows) >= PAIRS:
+                self.follows.clear()
             known = self.follows[left, right] = self.merge(self.by_id[left] + self.by_id[right]) == [left, right]
         return known
 
@@ -142,15 +145,25 @@ class PrefixEncoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> PrefixEncoder:
-    return PrefixEncoder(path, pattern)
+    with open(path, "rb") as file:
+        return PrefixEncoder(file.read(), pattern)
+
+
+#: A worker's encoder, by the name of the broadcast vocabulary.
+_OWN: dict[str, PrefixEncoder] = {}
 
 
 def encode_texts(frame: DataFrame, key: str, column: str, path: str, pattern: str) -> DataFrame:
-    """`key` and the ids of each text. `path` must be readable on every executor."""
+    """`key` and the ids of each text. The vocabulary of fixed size is read once on the driver and broadcast."""
+    with open(path, "rb") as file:
+        shared = frame.sparkSession.sparkContext.broadcast(file.read())
+    name = f"{path}|{pattern}"
     schema = T.StructType([frame.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = _OWN.get(name)
+        if own is None:
+            own = _OWN[name] = PrefixEncoder(shared.value, pattern)
         for batch in batches:
             ids = [own.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=schema.names)
