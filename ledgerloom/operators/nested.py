@@ -137,18 +137,6 @@ def members(node: Pairs) -> dict:
     return dict(node)
 
 
-def leaf(value) -> str | None:
-    """A field's value as text: strings as they are, other values as JSON."""
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, bool):
-        return "true" if value else "false"
-    try:
-        return json.dumps(plain(value), ensure_ascii=False)
-    except RecursionError:
-        return encode_deep(value)
-
-
 def encode_deep(value) -> str:
     """The JSON of a value of any depth, as `json` spaces it."""
     out: list[str] = []
